@@ -79,3 +79,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that calibrates the log-odds x to y, with a weak prior at the identity; Newton steps are halved until they help."""
+    w = np.ones(len(x)) if weight is None else weight
+
+    def cost(a: float, b: float) -> float:
+        z = a * x + b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ((a - 1) ** 2 + b * b))
+
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
+        g = np.array([(w * (p - y) * x).sum() + a - 1, (w * (p - y)).sum() + b])
+        v = w * p * (1 - p)
+        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1]])
+        step = np.linalg.solve(h, g)
+        scale, now = 1.0, cost(a, b)
+        while scale > 1e-9 and cost(a - scale * step[0], b - scale * step[1]) > now:
+            scale /= 2
+        a, b = a - scale * step[0], b - scale * step[1]
+        if scale <= 1e-9 or abs(step).max() * scale < 1e-9:
+            break
+    return max(float(a), 0.0), float(b)

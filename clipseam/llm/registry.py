@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from .bpe import op2_bpe_codec
 from .mixing import OP1_SQL, op1_mix_sources
+from .quality import op10_quality
+from .secrets import op7_secret_scan
+from .simhash import op9_simhash
 from .token_counts import op5_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe_codec": op2_bpe_codec,
     "op5_token_counts": op5_token_counts,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 SQL = {"op1_mix_sources": OP1_SQL}
