@@ -103,3 +103,33 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
         if scale <= 1e-9 or abs(step).max() * scale < 1e-9:
             break
     return max(float(a), 0.0), float(b)
+
+
+#: The bytes between words.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def power_table(n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(0x9E3779B97F4A7C15))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
+STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the bytes, and where each word starts."""
+    inside = np.concatenate([[False], ~SPACE[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    powers = power_table(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[raw] * powers)])
+    # The powers up to the word's start are divided out.
+    back = np.full(len(raw), BACK)
+    back[0] = 1
+    return mix64((sums[ends] - sums[starts]) * np.multiply.accumulate(back)[starts]), starts

@@ -16,46 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_curve, mix64, table, text_bytes
+from .common import SPACE, fit_curve, mix64, table, text_bytes, word_hashes
 
 DIMENSIONS, SAMPLE = 1 << 14, 1500
 KEEP_FROM = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def power_table(n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(0x9E3779B97F4A7C15))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
-STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of the bytes."""
-    inside = np.concatenate([[False], ~SPACE[raw], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers = power_table(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[raw] * powers)])
-    # The powers up to the word's start are divided out.
-    back = np.full(len(raw), BACK)
-    back[0] = 1
-    return mix64((sums[ends] - sums[starts]) * np.multiply.accumulate(back)[starts])
 
 
 def features(text: bytes) -> np.ndarray:
     """Hashed counts of words, word pairs and byte 3- and 4-grams, scaled to a unit vector; zero for an empty text."""
     raw = np.frombuffer(text, np.uint8)
-    words = word_hashes(raw)
+    words = word_hashes(raw)[0]
     shift = np.uint64(64 - DIMENSIONS.bit_length() + 1)
     pairs = mix64(words[:-1] * np.uint64(3) + words[1:])
     wide = raw.astype(np.uint32)
