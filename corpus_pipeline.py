@@ -1,17 +1,44 @@
-"""A corpus from raw documents to token ids, a stage at a time: each stage's rows are written and read by the next."""
+"""A corpus from raw documents to token ids, a stage at a time: each stage's rows are written and read by the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of documents; columns beyond these are left out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipseam.llm import toxicity
 from clipseam.llm.bpe import encode_documents
-from clipseam.llm.common import cut, table
+from clipseam.llm.common import cut, fold_of, small_side, table
 from clipseam.llm.mixing import mix_sources
+from clipseam.llm.secrets import redact_secrets
+from clipseam.llm.simhash import simhash_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score, by nearest labelled examples among docs, is below one half. Null and empty texts have the rate of texts without toxic terms and stay as long as that is below one half."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of() != 0)
+    return toxicity.score_toxicity(docs, model, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group, the document of the smallest id. Rows without an id stay; rows that repeat an id stay or go together."""
+    groups = simhash_groups(docs.select("doc_id", "text"))
+    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.select(*COLUMNS).join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each found secret replaced by a mark and n_chars counted anew where the text changed."""
+    before = docs.select(*COLUMNS)
+    after = redact_secrets(before.withColumn("_was", F.length("text")))
+    return after.withColumn("n_chars", F.when(F.length("text") != F.col("_was"), F.length("text").cast(before.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, so that sources stand near their target weights."""
     mixed = mix_sources(docs, carry=("text", "lang", "n_chars"))
@@ -19,12 +46,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their count and the digests of ids and decoded text."""
+    """doc_id, lang, source, the number of tokens, digests of ids and decoded text, and the ids, per row."""
     return encode_documents(docs, carry=("lang", "source"), with_ids=True)
 
 
-STAGES = [("mixing sources", mix), ("BPE encoding", encode)]
-#: Stages with learned scores, fingerprints and merges are beyond SQL; tests hold them against brute force.
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("SimHash near-dedup", drop_near_copies),
+    ("secret scans", redact),
+    ("mixing sources", mix),
+    ("BPE encoding", encode),
+]
+#: Learned scores, fingerprints and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
