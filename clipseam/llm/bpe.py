@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 8192
 #: Runs held in a process's memory, and the longest that is held.
-MEMORY, LONGEST = 300_000, 200
+MEMORY, LONGEST = 700_000, 200
 
 
 def tokenizer_json(name: str) -> str:
@@ -77,10 +78,15 @@ class TreeEncoder:
             known.clear()
             known[""] = b""
         new = [*{w for run in runs for w in run if w not in known}]
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST)
-        get = lambda w: known[w] if w in known else fresh[w]
-        return [b"".join([get(w) for w in run]) if fresh else b"".join([known[w] for w in run]) for run in runs]
+        fresh = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(fresh), "<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in fresh]).tolist()
+        known.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+        out = [b"".join(map(known.__getitem__, run)) for run in runs]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
     def cut_points(self, text: str) -> list[int]:
         """Where the text is halved, down to leaves: between two ASCII characters near each middle; none if there are none."""
