@@ -49,7 +49,7 @@ def running_totals(counts: DataFrame, keys: tuple[str, ...] = ("signal",)) -> Da
 def average_precision(rows: DataFrame) -> DataFrame:
     """signal, average_precision: tied scores move together; null with one label only."""
     total = running_totals(ranked_counts(rows))
-    step = F.col("positives") / F.col("all_positives") * F.col("tp") / F.col("k")
+    step = F.try_divide(F.col("positives"), F.col("all_positives")) * F.col("tp") / F.col("k")
     both = (F.first("all_positives") > 0) & (F.first("all_positives") < F.first("all_n"))
     return total.groupBy("signal").agg(F.when(both, F.sum(step)).alias("average_precision"))
 
@@ -60,7 +60,7 @@ def auroc(rows: DataFrame) -> DataFrame:
     tied = F.col("n") - F.col("positives")
     below = F.col("all_n") - F.col("all_positives") - (F.col("k") - F.col("tp"))
     both = (F.first("all_positives") > 0) & (F.first("all_positives") < F.first("all_n"))
-    area = F.sum(F.col("positives") * (below + tied / 2.0)) / (F.first("all_positives") * (F.first("all_n") - F.first("all_positives")))
+    area = F.try_divide(F.sum(F.col("positives") * (below + tied / 2.0)), F.first("all_positives").cast("double") * (F.first("all_n") - F.first("all_positives")))
     return total.groupBy("signal").agg(F.when(both, area).alias("auroc"))
 
 
@@ -69,9 +69,9 @@ def ranking_metrics(rows: DataFrame, names: tuple[str, ...] = NAMES) -> DataFram
     total = running_totals(ranked_counts(long_signals(rows, names)))
     positives, n = F.first("all_positives"), F.first("all_n")
     both = (positives > 0) & (positives < n)
-    step = F.col("positives") / F.col("all_positives") * F.col("tp") / F.col("k")
+    step = F.try_divide(F.col("positives"), F.col("all_positives")) * F.col("tp") / F.col("k")
     below = F.col("all_n") - F.col("all_positives") - (F.col("k") - F.col("tp"))
-    area = F.sum(F.col("positives") * (below + (F.col("n") - F.col("positives")) / 2.0)) / (positives * (n - positives))
+    area = F.try_divide(F.sum(F.col("positives") * (below + (F.col("n") - F.col("positives")) / 2.0)), positives.cast("double") * (n - positives))
     return total.groupBy("signal").agg(F.when(both, F.sum(step)).alias("average_precision"), F.when(both, area).alias("auroc"))
 
 

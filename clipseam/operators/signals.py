@@ -20,12 +20,12 @@ def boundary_pairs(cases: DataFrame, pairs: int = PAIRS) -> DataFrame:
 
 
 def histogram_distance(left: DataFrame, right: DataFrame) -> DataFrame:
-    """pair_id, histogram_distance between two histograms (pair_id, bin, weight) by Bhattacharyya; scale-free; pairs that lack a side are left out."""
+    """pair_id, histogram_distance between two histograms (pair_id, bin, weight) by Bhattacharyya; scale-free; pairs that lack a side are left out, empty weights are no distance."""
     sums = lambda x, name: x.groupBy("pair_id").agg(F.sum(F.col("weight").cast("double")).alias(name))
     shared = left.select("pair_id", "bin", F.col("weight").alias("p")).join(right.select("pair_id", "bin", F.col("weight").alias("q")), ["pair_id", "bin"])
     shared = shared.groupBy("pair_id").agg(F.sum(F.sqrt(F.col("p").cast("double") * F.col("q"))).alias("common"))
     both = sums(left, "p").join(sums(right, "q"), "pair_id").join(shared, "pair_id", "left")
-    return both.select("pair_id", F.sqrt(F.greatest(1 - F.coalesce("common", F.lit(0.0)) / F.sqrt(F.col("p") * F.col("q")), F.lit(0.0))).alias("histogram_distance"))
+    return both.select("pair_id", F.sqrt(F.greatest(1 - F.coalesce(F.try_divide(F.coalesce("common", F.lit(0.0)), F.sqrt(F.col("p") * F.col("q"))), F.lit(1.0)), F.lit(0.0))).alias("histogram_distance"))
 
 
 def array_histogram_distance(p: Column, q: Column) -> Column:
@@ -100,13 +100,13 @@ def tubelet_errors(latents: DataFrame, per_block: int = SPATIAL) -> DataFrame:
 
 
 def encoder_distance(context: DataFrame, target: DataFrame) -> DataFrame:
-    """case_id, encoder_distance: 1 - cosine of the mean token vectors of two tables (case_id, vector)."""
+    """case_id, encoder_distance: 1 - cosine of the mean token vectors of two tables (case_id, vector); null where a mean is zero."""
 
     def pooled(x: DataFrame, name: str) -> DataFrame:
         return x.select("case_id", F.posexplode("vector").alias("dim", "v")).groupBy("case_id", "dim").agg(F.avg("v").alias(name))
 
     both = pooled(context, "a").join(pooled(target, "b"), ["case_id", "dim"]).groupBy("case_id")
-    return both.agg((1 - F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))).alias("encoder_distance"))
+    return both.agg((1 - F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))))).alias("encoder_distance"))
 
 
 #: The review text of each signal, in order.

@@ -30,7 +30,7 @@ def test_anchors_equal_a_plain_loop(spark, horizon, count):
 
 def test_corpus_of_five_sources(spark):
     rows = frames(spark, {"dev-a": 40, "dev-b": 40, "dev-c": 40, "test-a": 40, "test-b": 40})
-    colours = spark.createDataFrame([("dev-a", "dev", [0.1, 0.0]), ("dev-b", "dev", [0.2, 0.0]), ("dev-c", "dev", [0.3, 0.0]), ("test-a", "test", [0.1, 0.0]), ("test-b", "test", [0.9, 0.0])], "source_id string, split string, colour array<double>")
+    colours = spark.createDataFrame([("dev-a", "dev", [0.25, 0.0]), ("dev-b", "dev", [0.5, 0.0]), ("dev-c", "dev", [0.75, 0.0]), ("test-a", "test", [0.1, 0.0]), ("test-b", "test", [0.9, 0.0])], "source_id string, split string, colour array<double>")
     built = cases.build_cases(rows, 4, 3, cases.cross_match(colours)).collect()
     again = cases.build_cases(rows, 4, 3, cases.cross_match(colours)).collect()
     assert sorted(map(str, built)) == sorted(map(str, again))
