@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from ..operators.bootstrap import bootstrap_draws, bootstrap_interval, grouped_bootstrap
+from ..operators.bootstrap import bootstrap_interval, paired_bootstrap
 from ..operators.calibrate import CHEAP, HYBRID, Calibrator, apply_calibrator, f1_threshold, fit_calibrator, flag_cases, select_horizon
 from ..operators.cases import expected_counts, split_overlap
 from ..operators.metrics import alert_rates, balanced_accuracy, condition_means, directional_hits, primary_lane, ranking_metrics, recall_by_corruption, summary_metrics
@@ -80,8 +80,7 @@ def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = 200, rows: in
         expected_counts(chosen, rows, groups)
     predictions = cut(with_risks(chosen, spec), "held-out")
     primary = primary_lane(predictions)
-    draws = bootstrap_draws(primary.select("source_id").distinct(), resamples)
-    replicates = cut(grouped_bootstrap(primary, draws, SIGNALS), "replicates")
+    replicates = cut(paired_bootstrap(primary, SIGNALS, resamples), "replicates")
     deltas = [bootstrap_interval(replicates, c) for c in replicates.columns if c.startswith("delta_")]
     return {
         "predictions": predictions,
