@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 8192
 #: Runs held in a process's memory, and the longest that is held.
-MEMORY, LONGEST = 700_000, 200
+MEMORY, LONGEST = 500_000, 200
 
 
 def tokenizer_json(name: str) -> str:
@@ -64,6 +64,7 @@ class TreeEncoder:
             self.token[i] = word
         self.length = [len(w.encode()) if i in added else len(w.removesuffix(end)) for i, w in enumerate(self.token)]
         self.utf8 = [w.encode() for w in self.token]
+        self.special = max((len(x["content"].encode()) for x in spec["added_tokens"]), default=0)
         self.known: dict[str, bytes] = {"": b""}
         self.rejoined = 0
 
@@ -121,8 +122,10 @@ class TreeEncoder:
             for i in fresh:
                 starts.append(n)
                 n += length[i]
-            before = {(s, i): k for k, (s, i) in enumerate(zip(starts, fresh, strict=True)) if k and s + length[i] <= 0}
-            after = {(s, i): k for k, (s, i) in enumerate(zip(starts, fresh, strict=True)) if k < len(fresh) - 1 and s >= 0}
+            # Near its ends the window may hold a part of a special string; what stands there is not shared.
+            sure = [s + seam >= self.special and n - s - length[i] >= self.special for s, i in zip(starts, fresh, strict=True)]
+            before = {(s, i): k for k, (s, i) in enumerate(zip(starts, fresh, strict=True)) if k and s + length[i] <= 0 and (sure[k] or b == high and s + seam >= self.special)}
+            after = {(s, i): k for k, (s, i) in enumerate(zip(starts, fresh, strict=True)) if k < len(fresh) - 1 and s >= 0 and (sure[k] or a == low and n - s - length[i] >= self.special)}
             tail = np.frombuffer(left[-4 * width - 16 :] if a > low else left, "<u4").tolist()
             head = np.frombuffer(right[: 4 * width + 16] if b < high else right, "<u4").tolist()
             # The nearest shared token on either side; at an outer end of the text the window itself is right.
@@ -165,15 +168,9 @@ class TreeEncoder:
         return b" ".join([utf8[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_ENCODERS: dict[str, TreeEncoder] = {}
-
-
 def encoder(text: str, leaf: int = LEAF) -> TreeEncoder:
-    """One encoder per process and tokenizer, with what it remembers."""
-    key = f"{leaf}:{hashlib.sha256(text.encode()).hexdigest()}"
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TreeEncoder(text, leaf)
-    return _ENCODERS[key]
+    """This process's encoder for a tokenizer, with what it remembers."""
+    return held(("bpe", leaf, hash(text)), lambda: TreeEncoder(text, leaf))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:

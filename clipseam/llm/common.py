@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
+__all__ = ["cut"]
+
 #: A word: a run of characters that are none of these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows above which a small side is no longer broadcast but shuffled.
 BROADCAST_ROWS = 100_000
-#: The folder made for each application that names none.
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        _OWN[spark.sparkContext.applicationId] = folder
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame) -> DataFrame:
     """df marked for broadcast if its counted rows allow it, else df, to be shuffled."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -54,17 +35,16 @@ def fold_of(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces whose texts hold about so many bytes; a longer text stands alone."""
-    for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if pa.types.is_binary(batch.column(column).type) else np.array([len(x.as_py()) for x in batch.column(column)])
-        ends = np.cumsum(sizes.astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+#: What this worker process holds between tasks; one operator's at a time, as workers serve one stage after another.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """make()'s value, kept while tasks of the same key follow each other in this process."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def lower_table() -> bytes:

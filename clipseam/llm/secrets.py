@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import held, table, text_bytes
 
 
 def either_case(word: str) -> str:
@@ -218,13 +218,8 @@ class Scanner:
         return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-_SCANNERS: dict[tuple, Scanner] = {}
-
-
 def scanner(rules: tuple) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(dict(rules))
-    return _SCANNERS[rules]
+    return held(("secrets", rules), lambda: Scanner(dict(rules)))
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_json
-from .common import table
+from .common import held, table
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Fixed value: the pre-token rule of the byte-level vocabulary.
@@ -73,9 +73,6 @@ class Counter:
         return [x if isinstance(x, int) else x[0] + sum(map(known.__getitem__, x[1])) for x in parts]
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -87,12 +84,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     key = hash(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(*sent.value)
+        work = held(("counts", key), lambda: Counter(*sent.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                tokens = np.array(_COUNTERS[key].count(part.column(1).to_pylist()), np.int64)
+                tokens = np.array(work.count(part.column(1).to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce("text", F.lit(""))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fit_curve, fold_of, table
+from .common import cut, fit_curve, fold_of, held, table
 
 NEIGHBOURS, SAMPLE, EXAMPLES, TERMS, BLOCK = 25, 24_000, 8192, 4096, 64
 STEMS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
@@ -55,7 +56,7 @@ class TermFinder(dict):
         self.stems = {t.partition("*")[0] for t in terms if "*" in t}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = tuple([word] * (word in self.terms) + [f"{word[:k]}*" for k in STEMS if len(word) > k and word[:k] in self.stems])
         self[word] = found
@@ -153,7 +154,7 @@ class NearestExamples:
             return self.unmatched, []
         key = tuple(sorted(counts.items()))
         if key not in self.memory:
-            if len(self.memory) > 50_000:
+            if len(self.memory) > 20_000:
                 self.memory.clear()
             vote, at = self.vote(self.vector(counts))
             if self.curve:
@@ -177,12 +178,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     rows = cut(rows, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([n * (k[1] == 1) for k, n in found.items()], pa.int64()), pa.array([n * (k[1] == 0) for k, n in found.items()], pa.int64())], names=["term", "toxic", "clean"])
+
         for batch in batches:
-            y = batch.column(1).to_pylist()
-            found = Counter(("", v) for v in y)
-            for text, v in zip(batch.column(2).to_pylist(), y, strict=True):
-                found.update((t, v) for t in terms_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([n * (k[1] == 1) for k, n in found.items()], pa.int64()), pa.array([n * (k[1] == 0) for k, n in found.items()], pa.int64())], names=["term", "toxic", "clean"])
+            for label, text in zip(batch.column(1), batch.column(2), strict=True):
+                y = label.as_py()
+                found[("", y)] += 1
+                found.update((t, y) for t in terms_of(text.as_py()))
+                if len(found) > 200_000:
+                    yield flush()
+                    found.clear()
+        yield flush()
 
     terms = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     terms = cut(terms, "terms")
@@ -203,9 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [{t: n for t, n in terms_of(x).items() if t in known} for x in texts]
-            least = [min((zlib.crc32(w.encode()) for w in {*FIND(x.lower())}), default=0) for x in texts]
+            found, least = [], []
+            for text in batch.column(2):
+                text = text.as_py()
+                found.append({t: n for t, n in terms_of(text).items() if t in known})
+                least.append(min((zlib.crc32(w.encode()) for w in {*FIND(text.lower())}), default=0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[*c.keys()] for c in found], pa.list_(pa.string())), pa.array([[*c.values()] for c in found], pa.list_(pa.int64())), pa.array(least, pa.int64())], names=["doc_id", "toxic", "words", "counts", "least"])
 
     vectors = cut(rows.mapInArrow(hold, "doc_id string, toxic int, words array<string>, counts array<long>, least long"), "vectors")
@@ -233,13 +244,13 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, threshold: float = 0
     left out unless carried; an empty table gives none.
     """
     model.memory.clear()
-    model.finder = None
+    model.finder, token = None, uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(model)  # EXAMPLES vectors over TERMS terms at most
     chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], F.coalesce("text", F.lit("")).alias("_text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], "score double, predicted int, evidence array<string>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = sent.value
+        work = held(("toxicity", token), lambda: sent.value)
         for batch in batches:
             found = [work.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "score", "predicted", "evidence"])
