@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, small_side, table, text_bytes
 
 WIDTH, GRAM = 400, 64
-BLOCK, PIECE = 48 << 20, 2 << 20
+BLOCK, PIECE = 16 << 20, 1 << 20
 #: Segments of one anchor that are sorted in one task; bytes of segments that are sorted at once.
-TILE, SORTED = 1024, 1 << 20
+TILE, SORTED = 256, 1 << 18
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -285,20 +285,23 @@ def remove_repeats(docs: DataFrame, tile: int = TILE, with_text: bool = False) -
     kind = pieces.schema["ids"].dataType.elementType.simpleString()
 
     def remove(found: pa.Table, held: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(held["start"]), kind="stable").tolist()
-        ids = [x for i in order for x in held["ids"][i].as_py()]
-        ends = np.cumsum([x for i in order for x in held["lengths"][i].as_py()]).astype(np.int64)
-        whole = block_bytes(held)
-        depth = np.zeros(len(whole) + 1, np.int32)
-        np.add.at(depth, np.asarray(found["low_at"]), 1)
-        np.add.at(depth, np.asarray(found["high_at"]), -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        raw, out = np.frombuffer(whole, np.uint8), []
-        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
-            mask = gone[a:b]
-            n = int(np.count_nonzero(mask))
-            kept = raw[a:b][~mask].tobytes() if n else whole[a:b]
-            out.append((b - a, n, int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        lows, highs = np.asarray(found["low_at"]), np.asarray(found["high_at"])
+        order = np.argsort(lows, kind="stable")
+        lows, highs = lows[order], highs[order]
+        ids, out = [], []
+        for start, names, lengths, packed in zip(held["start"].to_pylist(), held["ids"], held["lengths"], held["texts"], strict=True):
+            whole, ids = zstandard.decompress(packed.as_py()), ids + names.as_py()
+            depth = np.zeros(len(whole) + 1, np.int32)
+            mine = slice(*np.searchsorted(lows, (start, start + len(whole))))
+            np.add.at(depth, lows[mine] - start, 1)
+            np.add.at(depth, highs[mine] - start, -1)
+            gone, raw, at = np.cumsum(depth[:-1], dtype=np.int32) > 0, np.frombuffer(whole, np.uint8), 0
+            for length in lengths.as_py():
+                a, b, at = at, at + length, at + length
+                mask = gone[a:b]
+                n = int(np.count_nonzero(mask))
+                kept = raw[a:b][~mask].tobytes() if n else whole[a:b]
+                out.append((length, n, int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         columns = {"doc_id": pa.array(ids, held.schema.field("ids").type.value_type), "n_bytes": pa.array([x[0] for x in out], pa.int64()), "n_removed": pa.array([x[1] for x in out], pa.int64()), "n_spans": pa.array([x[2] for x in out], pa.int64()), "kept_sha256": pa.array([x[3] for x in out], pa.string())}
         return pa.table(columns | ({"kept": pa.array([x[4] for x in out], pa.binary())} if with_text else {}))
 
