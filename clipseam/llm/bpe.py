@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import check_carry, held, table
 
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 8192
 #: Runs held in a process's memory, and the longest that is held.
-MEMORY, LONGEST = 500_000, 200
+MEMORY, LONGEST = 300_000, 60
 
 
 def tokenizer_json(name: str) -> str:
@@ -179,6 +179,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, leaf: int =
     tokenizer: the JSON text of a tokenizer. Null and empty texts have no tokens. A text of any length is held by one
     task; extra columns are left out unless carried; repeated rows give repeated rows; an empty table gives none.
     """
+    check_carry(carry, ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer or tokenizer_json(TOKENIZER))
     chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], F.coalesce("text", F.lit("")).alias("_text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,12 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def check_carry(carry: tuple[str, ...], own: tuple[str, ...]) -> None:
+    """A carried column must not have the name of a result column."""
+    if clash := set(carry) & set(own):
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
+
+
 def fold_of(column: str = "doc_id") -> Column:
     """crc32(id as text) mod 5; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
@@ -43,6 +50,7 @@ def held(key, make):
     """make()'s value, kept while tasks of the same key follow each other in this process."""
     if key not in _HELD:
         _HELD.clear()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, cut, small_side, table
+from .common import BROADCAST_ROWS, WORD, check_carry, cut, table
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
@@ -61,6 +61,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     is a source of its own, last in order. Rows that repeat id and text tie; which of them is taken makes no
     difference to the result. An empty table gives an empty result.
     """
+    check_carry(carry, ("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
     weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
     kept = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)]
     rows = cut(docs.select("doc_id", "source", word_count().alias("size"), uniform(seed).alias("_u"), weight.alias("_weight"), *kept), "mix")

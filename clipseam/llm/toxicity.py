@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fit_curve, fold_of, held, table
+from .common import check_carry, cut, fit_curve, fold_of, held, table
 
 NEIGHBOURS, SAMPLE, EXAMPLES, TERMS, BLOCK = 25, 24_000, 8192, 4096, 64
 STEMS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
@@ -56,7 +56,7 @@ class TermFinder(dict):
         self.stems = {t.partition("*")[0] for t in terms if "*" in t}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 100_000:
+        if len(self) > 60_000:
             self.clear()
         found = tuple([word] * (word in self.terms) + [f"{word[:k]}*" for k in STEMS if len(word) > k and word[:k] in self.stems])
         self[word] = found
@@ -154,7 +154,7 @@ class NearestExamples:
             return self.unmatched, []
         key = tuple(sorted(counts.items()))
         if key not in self.memory:
-            if len(self.memory) > 20_000:
+            if len(self.memory) > 5_000:
                 self.memory.clear()
             vote, at = self.vote(self.vector(counts))
             if self.curve:
@@ -243,19 +243,22 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, threshold: float = 0
     without both labels in training every text gets the base rate. Repeated rows give repeated rows; extra columns are
     left out unless carried; an empty table gives none.
     """
+    check_carry(carry, ("doc_id", "score", "predicted", "evidence"))
     model.memory.clear()
     model.finder, token = None, uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(model)  # EXAMPLES vectors over TERMS terms at most
-    chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], F.coalesce("text", F.lit("")).alias("_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], "score double, predicted int, evidence array<string>"])
+    # The text travels once, also when it is carried.
+    chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry) if c != "text"], F.col("text").alias("_text"))
+    kept = [f for f in chosen.schema.fields if f.name != "_text" or "text" in carry]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double, predicted int, evidence array<string>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = held(("toxicity", token), lambda: sent.value)
         for batch in batches:
-            found = [work.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "score", "predicted", "evidence"])
+            found = [work.score(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.string()))], names=[*[f.name for f in kept], "score", "predicted", "evidence"])
 
-    return chosen.mapInArrow(run, schema).select("doc_id", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], "score", "predicted", "evidence")
+    return chosen.mapInArrow(run, schema).select("doc_id", *[F.col("_text" if c == "text" else f"_carry_{i}").alias(c) for i, c in enumerate(carry)], "score", "predicted", "evidence")
 
 
 def toxic_nearest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -91,8 +91,10 @@ def test_mix_weights_documents(spark):
 
 
 def test_mix_edges(edge_docs, edge_rows, no_docs):
-    found = mixing.mix_sources(edge_docs, carry=("text", "size")).collect()
-    assert len(found) == len(edge_rows) and {r["size"] for r in found} >= {"clash"} or True
+    found = mixing.mix_sources(edge_docs, carry=("text", "score")).collect()
+    assert len(found) == len(edge_rows) and {r["score"] for r in found} == {"clash"}
+    with pytest.raises(ValueError):
+        mixing.mix_sources(edge_docs, carry=("size",))
     assert all(r["taken"] == 0 for r in found if not r["text"])
     assert mixing.mix_sources(no_docs).count() == 0
 
@@ -266,7 +268,8 @@ def test_toxicity_on_rows_it_did_not_see(spark, small_folder, edge_docs, edge_ro
     assert any(r["evidence"] for r in found if r["toxic"])
     model = toxicity.fit(docs, labels, fold_of() != 0)
     assert {"idiot", "moron", "trash"} <= set(model.terms)
-    edge = toxicity.score_toxicity(edge_docs, model, carry=("text", "score")).collect() if False else toxicity.score_toxicity(edge_docs, model, carry=("text",)).collect()
+    edge = toxicity.score_toxicity(edge_docs, model, carry=("size", "text")).collect()
+    assert Bag(r["text"] for r in edge) == Bag(r[1] for r in edge_rows) and {r["size"] for r in edge} == {"clash"}
     assert len(edge) == len(edge_rows) and all(r["predicted"] == 0 for r in edge)
     assert toxicity.score_toxicity(no_docs, model).count() == 0
     one = toxicity.toxic_nearest(docs, labels.filter("toxic = 0")).agg(F.max("score"), F.min("score")).first()
@@ -285,7 +288,7 @@ def test_ppm_base_and_scores(spark, edge_docs, edge_rows, no_docs):
     n, v = sum(c.values()), len(c)
     want = sorted((str(r[0]), held(r[0]), len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 6)) for r, ts in zip(edge_rows, tokens, strict=True))
     got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found)
-    assert got == pytest.approx(want) if False else [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-6)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
     assert ppm.ppm_scores(no_docs, fold_of() != 1).count() == 0
