@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small_side, table, text_bytes
+from .common import cut, mix64, table, text_bytes
 
 WIDTH, GRAM = 400, 64
 BLOCK, PIECE = 16 << 20, 1 << 20
