@@ -29,7 +29,7 @@ from .common import check_carry, held, table
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 8192
 #: Runs held in a process's memory, and the longest that is held.
-MEMORY, LONGEST = 300_000, 60
+MEMORY, LONGEST = 500_000, 60
 
 
 def tokenizer_json(name: str) -> str:
