@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from ..operators.bootstrap import bootstrap_interval, paired_bootstrap
+from ..operators.bootstrap import RESAMPLES, bootstrap_interval, paired_bootstrap
 from ..operators.calibrate import CHEAP, HYBRID, Calibrator, apply_calibrator, f1_threshold, fit_calibrator, flag_cases, select_horizon
 from ..operators.cases import expected_counts, split_overlap
 from ..operators.metrics import alert_rates, balanced_accuracy, condition_means, directional_hits, primary_lane, ranking_metrics, recall_by_corruption, summary_metrics
@@ -72,7 +72,7 @@ def freeze(scored: DataFrame, mode: str = "proxy", test: DataFrame | None = None
     return FrozenSpec(spec.horizon, spec.cheap, spec.hybrid, spec.threshold, mode, spec.digest())
 
 
-def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = 200, rows: int | None = None, groups: int | None = None) -> dict[str, DataFrame]:
+def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = RESAMPLES, rows: int | None = None, groups: int | None = None) -> dict[str, DataFrame]:
     """Tables of held-out cases under a verified spec: predictions, summary, ranking, accuracy, recall, replicates, intervals."""
     verify_spec(spec)
     chosen = scored.filter(F.col("horizon") == spec.horizon)
@@ -104,7 +104,7 @@ def read_spec(spark: SparkSession, path: str) -> FrozenSpec:
     return FrozenSpec.read("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def run_holdout(scored: DataFrame, spec_path: str, path: str, resamples: int = 200) -> dict[str, DataFrame]:
+def run_holdout(scored: DataFrame, spec_path: str, path: str, resamples: int = RESAMPLES) -> dict[str, DataFrame]:
     """evaluate() under the spec at spec_path, each table written under path; an earlier result is an error."""
     spark = scored.sparkSession
     found = evaluate(scored, read_spec(spark, spec_path), resamples)

@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 HALF_DAY = 1 / 43_200
 RISK = calibrate.Calibrator(calibrate.HYBRID, (25.5, 0.05, 0.04, 38_000.0), (14.43, 0.0316, 0.0, 23_300.0), (0.02, 0.5, -3.0, 0.4), 0.55)
 CHEAP_RISK = calibrate.Calibrator(calibrate.CHEAP, (25.5, 0.05, 0.04), (14.43, 0.0316, 0.0258), (0.3, -0.2, 0.1), -0.1)
-THRESHOLD, RESAMPLES = 0.6, 20
+THRESHOLD, RESAMPLES = 0.6, boot.RESAMPLES
 
 
 def query(sql: str | None = None):

@@ -111,7 +111,7 @@ def long_table(df: DataFrame, name: str, key: str | None) -> DataFrame:
 @query
 def holdout_job(spark: SparkSession, folder: str) -> DataFrame:
     """All held-out metrics of the frozen spec, a row each."""
-    found = ev.evaluate(tm.signals(spark, folder).filter("split = 'test'"), frozen(spark, folder), resamples=20)
+    found = ev.evaluate(tm.signals(spark, folder).filter("split = 'test'"), frozen(spark, folder))
     parts = [long_table(found[k], k, key) for k, key in (("summary", None), ("ranking", "signal"), ("accuracy", None), ("recall", "corruption"), ("intervals", "delta"))]
     out = parts[0]
     for p in parts[1:]:
