@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.storage import cut, new_folder
 from .jobs import evaluation as ev
-from .operators import cases, sampling, scoring
+from .operators import sampling, scoring
 from .operators.metrics import rounded
 from .queries import HORIZON, RISK, THRESHOLD, clip_pairs, matched_cases
 from .sources import frames as files
@@ -15,7 +15,6 @@ from .sources import testmap as tm
 from .streaming.score import score_stream
 
 QUERIES = {}
-MOTION_SIDE, SIDE = 24, 48
 
 
 def query(f):
@@ -60,31 +59,32 @@ def frame_colour(spark: SparkSession, folder: str) -> DataFrame:
 def boundary_signatures(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     """Each frame near a boundary, reduced once; the others' pixels are never read further."""
     needed = sampling.boundary_frames(rows).select("frame_path").distinct()
-    return cut(scoring.frame_signature(tm.images(spark, folder).join(needed, "frame_path", "left_semi"), SIDE), "signatures")
+    return cut(scoring.frame_signature(tm.images(spark, folder).join(needed, "frame_path", "left_semi")), "signatures")
 
 
-def one_anchor_cases(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(cases.build_cases(tm.frames(spark, folder), HORIZON, 1), "cases")
+def pixel_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """All cases: three anchors of each source, with the cross cases."""
+    return cut(matched_cases(spark, folder), "cases")
 
 
 @query
 def frame_signature(spark: SparkSession, folder: str) -> DataFrame:
-    found = boundary_signatures(spark, folder, one_anchor_cases(spark, folder))
+    found = boundary_signatures(spark, folder, pixel_cases(spark, folder))
     return found.select("frame_path", F.sha2("grey", 256).alias("grey_sha256"), F.aggregate("histogram", F.lit(0.0), lambda s, x: s + x).alias("pixels"))
 
 
 @query
 def cheap_features(spark: SparkSession, folder: str) -> DataFrame:
     """Histogram, structure and motion signals of each case from pixels."""
-    rows = one_anchor_cases(spark, folder)
-    found = scoring.cheap_features(rows, boundary_signatures(spark, folder, rows), motion_side=MOTION_SIDE)
-    return rounded(found.select("case_id", "histogram_distance", "ssim_distance", F.array_max("flow_magnitudes").alias("largest_motion"), "flow_discontinuity"))
+    rows = pixel_cases(spark, folder)
+    found = scoring.cheap_features(rows, boundary_signatures(spark, folder, rows))
+    return rounded(found.select("case_id", "histogram_distance", "ssim_distance", F.transform("flow_magnitudes", lambda x: F.round(x, 6)).alias("flow_magnitudes"), F.array_max("flow_magnitudes").alias("largest_motion"), "flow_discontinuity"))
 
 
 @query
 def score_cases(spark: SparkSession, folder: str) -> DataFrame:
-    rows = one_anchor_cases(spark, folder)
-    return rounded(scoring.score_cases(rows, boundary_signatures(spark, folder, rows), motion_side=MOTION_SIDE).drop("cheap_ms"))
+    rows = pixel_cases(spark, folder)
+    return rounded(scoring.score_cases(rows, boundary_signatures(spark, folder, rows)).drop("cheap_ms"))
 
 
 def development_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +146,7 @@ def review_batch(spark: SparkSession, folder: str) -> DataFrame:
     rows = met.groupBy("pair_id").agg(side("context").alias("context_paths"), side("target").alias("target_paths"))
     rows = rows.select(F.concat_ws("-", F.lit("pair"), F.col("pair_id").cast("string")).alias("case_id"), F.col("pair_id").alias("source_id"), F.lit("test").alias("split"), F.lit(1).alias("discontinuous"), F.lit("unknown").alias("corruption"), F.lit("primary").alias("lane"), F.lit(HORIZON).alias("horizon"), "context_paths", "target_paths", (F.col("pair_id") + 1).alias("target_source_id"))
     rows = cut(rows, "review")
-    scored = scoring.score_cases(rows, boundary_signatures(spark, folder, rows), motion_side=MOTION_SIDE)
+    scored = scoring.score_cases(rows, boundary_signatures(spark, folder, rows))
     spec = ev.FrozenSpec(HORIZON, RISK, RISK, THRESHOLD)
     spec = ev.FrozenSpec(HORIZON, RISK, RISK, THRESHOLD, fingerprint=spec.digest())
     return rounded(ev.review(scored, spec))
