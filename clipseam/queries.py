@@ -329,12 +329,22 @@ def tubelet_errors(spark, folder):
     return rounded(sig.tubelet_errors(tm.latents(spark, folder), 16))
 
 
-@query(f"""WITH {tm.LATENTS}, sides AS (SELECT case_id, CASE WHEN token_id < 16 THEN 0 ELSE 1 END AS side, unnest(predicted) AS v, generate_subscripts(predicted, 1) AS dim FROM latents WHERE token_id < 32),
-  pooled AS (SELECT case_id, dim, avg(v) FILTER (side = 0) AS a, avg(v) FILTER (side = 1) AS b FROM sides GROUP BY ALL)
-  SELECT case_id, round(1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS encoder_distance FROM pooled GROUP BY 1""")
+SIDE = 16
+
+
+@query(f"""WITH tokens AS (SELECT CAST(label AS BIGINT) AS label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // {SIDE} AS block, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector FROM embeddings),
+  long AS (SELECT label, block, unnest(vector) AS v, generate_subscripts(vector, 1) AS dim FROM tokens),
+  pooled AS (SELECT label, block, dim, avg(v) AS m FROM long GROUP BY ALL)
+  SELECT concat_ws('-', CAST(a.label AS VARCHAR), CAST(a.block AS VARCHAR)) AS case_id, round(1 - sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)), 6) AS encoder_distance
+  FROM pooled a JOIN pooled b ON b.label = a.label AND b.block = a.block + 1 AND b.dim = a.dim GROUP BY a.label, a.block""")
 def encoder_distance(spark, folder):
-    tokens = tm.latents(spark, folder).withColumnRenamed("predicted", "vector")
-    return rounded(sig.encoder_distance(tokens.filter("token_id < 16"), tokens.filter("token_id >= 16 AND token_id < 32")))
+    """Each block of a label's ordered vectors as context against the next one as target; the last block may be short."""
+    from pyspark.sql import Window as W
+
+    at = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    tokens = tm.table(spark, folder, "embeddings").select(F.col("label").cast("long").alias("label"), F.floor(at / SIDE).alias("block"), F.col("embedding").cast("array<double>").alias("vector"))
+    side = lambda shift: tokens.filter(F.col("block") >= shift).select(F.concat_ws("-", F.col("label").cast("string"), (F.col("block") - shift).cast("string")).alias("case_id"), "vector")
+    return rounded(sig.encoder_distance(side(0), side(1)))
 
 
 @query(f"WITH {tm.SIGNALS} " + " UNION ALL ".join(f"SELECT case_id, {i} AS place, '{n}' AS signal, {n} AS value, '{sig.DIRECTIONS[n]}' AS direction FROM signals" for i, n in enumerate(sig.NAMES)))
