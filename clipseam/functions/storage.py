@@ -29,3 +29,10 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
+    """df written to the shared folder in buckets of column and read back; joins and groups on the column then read it without a shuffle."""
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", new_folder(df.sparkSession, tag)).saveAsTable(name)
+    return df.sparkSession.table(name)
