@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import bucketed, cut
 
-__all__ = ["cut"]
+__all__ = ["bucketed", "cut"]
 
 #: A word: a run of characters that are none of these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows above which a small side is no longer broadcast but shuffled.
 BROADCAST_ROWS = 100_000
+#: A key is hot with more than this many rows, and more than this part of all rows; so no more than HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 1_000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,18 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined to keyed, which has a row per key with the key's rows in _n; total: all rows.
+
+    Keys of more than a HOT_SHARE-th of all rows, at most HOT_SHARE, are broadcast, so that no task gets a hot key's rows; the others are shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = keyed.filter(F.col("_n") > limit)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.filter(F.col("_n") <= limit), on))
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -3,11 +3,15 @@
 A string of WIDTH bytes that starts at two places has the same GRAM-byte anchor in both: the gram of smallest hash (the
 leftmost of equal ones). So every string's start belongs to exactly one anchor, and only starts that belong to equal
 anchors, at the same distance, need be compared. (1) Each task cuts its texts into segments, the bytes of all strings
-that belong to one anchor; one per some 185 bytes. (2) Segments that are equal as a whole are counted by hash: all their strings
-repeat. (3) Different segments around equal anchors are sorted: their suffixes, in sets of one anchor and distance, go
-through a mergesort whose comparisons find the common extension of two suffixes by prefix polynomial hashes and binary search. Neighbours
-that share WIDTH bytes are verified byte by byte. (4) The repeated strings' bytes return to their texts.
-
+that belong to one anchor; one per some 185 bytes. (2) Segments of equal 128-bit digests form a class; alone in its
+anchor and of one member, a class can't repeat anything. Of every other class one member, and of larger ones a second,
+goes to the sort. (3) There two members are folded once their bytes have been compared, and the suffixes of segments around equal anchors,
+in sets of one anchor and distance, go through a mergesort whose comparisons find the common extension of two suffixes by
+prefix polynomial hashes and binary search. A suffix repeats if it was folded or shares WIDTH bytes with its neighbour in
+the order, byte by byte; where bytes don't bear a hash out, the set is sorted anew by its bytes. (4) What the sort found
+returns to all members' texts.
+
+Pieces of texts lie in a table bucketed by block, so that fetching segments and removing bytes read them where they are.
 An anchor with many different segments (as at the edge of a very common passage) is dealt as pairs of bounded tiles.
 """
 
@@ -20,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, table, text_bytes
+from .common import bucketed, cut, join_skewed, mix64, table, text_bytes
 
 WIDTH, GRAM = 400, 64
 BLOCK, PIECE = 16 << 20, 1 << 20
+#: Starts that are cut into segments at once; their places take PLACE bits beside the hashes.
+CHUNK, PLACE = 1 << 24, 26
 #: Segments of one anchor that are sorted in one task; bytes of segments that are sorted at once.
 TILE, SORTED = 256, 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -76,23 +82,24 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts in a row: per segment the anchor's hash with the distance of its first string, the segment's hash, its first string's start, and its strings."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < WIDTH:
-        return none, none, none, none
-    hashes = gram_hashes(raw)
-    place = np.arange(len(hashes), dtype=np.uint64)
-    smallest = sliding_minimum((hashes & ~np.uint64((1 << 28) - 1)) | place, WIDTH - GRAM + 1)
-    ends = np.repeat(np.cumsum(lengths), lengths)[: len(smallest)]
-    starts = np.flatnonzero(np.arange(len(smallest)) + WIDTH <= ends)
-    if not len(starts):
-        return none, none, none, none
-    anchor = (smallest[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    count = np.diff(np.append(first, len(starts)))
-    low, anchor = starts[first], anchor[first]
-    whole = PrefixHash(raw).of(low, count - 1 + WIDTH)
-    return hashes[anchor].view(np.int64), mix64(whole + count.astype(np.uint64)).view(np.int64), low, count | (anchor - low) << 20
+    """Of texts in a row: per segment the anchor's hash, the two halves of the digest of its bytes, its first string's start, and its strings with the distance of the first one to the anchor."""
+    ends, view, found = np.cumsum(lengths), memoryview(raw), []
+    for at in range(0, len(raw) - WIDTH + 1, CHUNK):
+        part = raw[at : at + CHUNK + WIDTH - 1]
+        hashes = gram_hashes(part)
+        low_bits = np.uint64((1 << PLACE) - 1)
+        smallest = sliding_minimum((hashes & ~low_bits) | np.arange(len(hashes), dtype=np.uint64), WIDTH - GRAM + 1)
+        place = np.arange(at, at + len(smallest))
+        starts = np.flatnonzero(place + WIDTH <= ends[np.searchsorted(ends, place, side="right")])
+        anchor = (smallest[starts] & low_bits).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])[: len(starts)])
+        count, anchor, low = np.diff(np.append(first, len(starts))), anchor[first], starts[first]
+        found.append((hashes[anchor].view(np.int64), low + at, count | (anchor - low) << 20))
+    anchors, lows, shapes = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+    sizes = (shapes & ((1 << 20) - 1)) - 1 + WIDTH
+    digests = b"".join([hashlib.blake2b(view[a : a + n], digest_size=16).digest() for a, n in zip(lows.tolist(), sizes.tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return anchors, halves[:, 0], halves[:, 1], lows, shapes
 
 
 class SuffixSorter:
@@ -120,6 +127,8 @@ class SuffixSorter:
 
     def sort(self, suffixes: np.ndarray, sets: np.ndarray) -> np.ndarray:
         """The suffixes in order inside each set (sets ascend): a bottom-up mergesort, all sets and merges at once."""
+        if not len(sets):
+            return suffixes
         suffixes = suffixes.copy()
         first = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
         sizes = np.diff(np.append(first, len(sets)))
@@ -147,45 +156,54 @@ class SuffixSorter:
             run *= 2
         return suffixes
 
+    def sort_bytes(self, suffixes: np.ndarray, sets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """The suffixes with those of the chosen sets in order of their bytes."""
+        out, whole = suffixes.copy(), self.raw.tobytes()
+        at = np.flatnonzero(chosen)
+        out[at] = [x for _, _, x in sorted((s, whole[x : x + WIDTH], x) for s, x in zip(sets[at].tolist(), suffixes[at].tolist(), strict=True))]
+        return out
+
     def equal_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         rows = np.lib.stride_tricks.sliding_window_view(self.raw, WIDTH)
         return np.concatenate([(rows[x[k : k + 8192]] == rows[y[k : k + 8192]]).all(1) for k in range(0, len(x), 8192)] or [np.zeros(0, bool)])
 
 
-def repeated(texts: list[bytes], anchors: np.ndarray, distances: np.ndarray, across: np.ndarray | None = None) -> list[np.ndarray]:
-    """For segments of equal length rules: the places in each at which a string starts that starts in another one of equal anchor at equal distance.
+def repeated(texts: list[bytes], anchors: np.ndarray, distances: np.ndarray, folded: np.ndarray | None = None) -> list[np.ndarray]:
+    """For different segments: the places in each at which a string starts that starts also in another one of equal anchor at equal distance, or anywhere in a folded one.
 
-    anchors: a number per segment; distances: from its first string's start to its anchor. across: a tile per segment;
-    then only strings that repeat in another tile count beside those of the same one (they are found there again, to no harm).
+    anchors: a number per segment; distances: from its first string's start to its anchor; folded: segments that stand for two of equal bytes.
     """
+    if not texts:
+        return []
     lengths = np.array([len(t) for t in texts])
-    offset = np.cumsum(np.append(0, lengths))[:-1]
     counts = lengths - WIDTH + 1
     segment = np.repeat(np.arange(len(texts)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    suffixes = offset[segment] + inside
+    suffixes = (np.cumsum(lengths) - lengths)[segment] + inside
     sorter = SuffixSorter(np.frombuffer(b"".join(texts), np.uint8))
     sets = anchors[segment] * 1024 + (distances[segment] - inside)
-    # A string whose hash is alone in its set cannot repeat there and needs no sorting.
-    mark = sorter.hash.of(suffixes, WIDTH)
-    order = np.lexsort((mark, sets))
-    same = (sets[order][1:] == sets[order][:-1]) & (mark[order][1:] == mark[order][:-1])
-    keep = np.zeros(len(order), bool)
-    keep[order[1:][same]] = True
-    keep[order[:-1][same]] = True
-    chosen = np.flatnonzero(keep)
-    chosen = chosen[np.argsort(sets[chosen], kind="stable")]
-    found = np.zeros(len(suffixes), bool)
-    if len(chosen):
-        ordered = sorter.sort(suffixes[chosen], sets[chosen])
-        number = np.zeros(len(sorter.raw), np.int64)
-        number[suffixes] = np.arange(len(suffixes))
-        grouped = sets[chosen]
-        near = np.flatnonzero((grouped[1:] == grouped[:-1]) & (sorter.common(ordered[1:], ordered[:-1]) == WIDTH))
-        near = near[sorter.equal_bytes(ordered[near], ordered[near + 1])]
-        found[number[ordered[near]]] = True
-        found[number[ordered[near + 1]]] = True
-    return [inside[(segment == k) & found] for k in range(len(texts))] if len(texts) < 64 else np.split(inside[found], np.cumsum(np.bincount(segment[found], minlength=len(texts)))[:-1])
+    by_set = np.argsort(sets, kind="stable")
+    # A suffix alone in its set has no neighbour.
+    mates = np.diff(sets[by_set]) == 0
+    by_set = by_set[np.append(mates, False) | np.append(False, mates)]
+    suffixes, sets = suffixes[by_set], sets[by_set]
+    number = np.zeros(len(sorter.raw), np.int64)
+    number[suffixes] = by_set
+    suffixes = sorter.sort(suffixes, sets)
+    mates = sets[1:] == sets[:-1]
+    near = np.flatnonzero(mates)
+    near = near[sorter.common(suffixes[1:][near], suffixes[:-1][near]) == WIDTH]
+    same = sorter.equal_bytes(suffixes[near], suffixes[near + 1])
+    if not same.all():
+        # Hashes met by chance: what they were believed in is sorted by its bytes.
+        wrong = np.isin(sets, sets[near[~same]])
+        suffixes = sorter.sort_bytes(suffixes, sets, wrong)
+        near = np.union1d(near[~wrong[near]], np.flatnonzero(mates & wrong[1:]))
+        near = near[sorter.equal_bytes(suffixes[near], suffixes[near + 1])]
+    found = np.zeros(len(suffixes), bool) if folded is None else folded[segment]
+    found[number[suffixes[near]]] = True
+    found[number[suffixes[near + 1]]] = True
+    return np.split(inside[found], np.cumsum(np.bincount(segment[found], minlength=len(texts)))[:-1])
 
 
 def reduce_texts(docs: DataFrame) -> DataFrame:
@@ -194,10 +212,11 @@ def reduce_texts(docs: DataFrame) -> DataFrame:
 
     chosen = docs.select("doc_id", text_bytes().alias("_text"))
     id_type = to_arrow_type(chosen.schema["doc_id"].dataType)
-    schema = pa.schema([("block", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(id_type)), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary()), ("anchors", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("lows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    numbers = ("anchors", "heads", "tails", "lows", "shapes")
+    schema = pa.schema([("block", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(id_type)), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary()), *[(n, pa.list_(pa.int64())) for n in numbers]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, start = TaskContext.get().partitionId() << 20, 0
+        block, start = TaskContext.get().partitionId() << 12, 0
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             while at < len(texts):
@@ -207,13 +226,16 @@ def reduce_texts(docs: DataFrame) -> DataFrame:
                     to += 1
                 if start and start + size > BLOCK:
                     block, start = block + 1, 0
+                    if not block & 4095:
+                        raise ValueError(f"a task's texts are beyond 4096 blocks of {BLOCK} bytes: read the table in smaller partitions")
                 joined, lengths = b"".join(texts[at:to]), np.array([len(t) for t in texts[at:to]], np.int64)
-                anchors, hashes, lows, counts = segments(np.frombuffer(joined, np.uint8), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, start, ids.slice(at, to - at).to_pylist(), lengths, zstandard.compress(joined, 3), anchors, hashes, lows + start, counts), schema, strict=True)], schema=schema)
+                anchors, heads, tails, lows, shapes = segments(np.frombuffer(joined, np.uint8), lengths)
+                values = (block, start, ids.slice(at, to - at).to_pylist(), lengths, zstandard.compress(joined, 3), anchors, heads, tails, lows + start, shapes)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
                 start, at = start + size, to
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"block long, start long, ids array<{kind}>, lengths array<long>, texts binary, anchors array<long>, hashes array<long>, lows array<long>, counts array<long>")
+    return chosen.mapInArrow(run, f"block long, start long, ids array<{kind}>, lengths array<long>, texts binary, {', '.join(f'{n} array<long>' for n in numbers)}")
 
 
 def block_bytes(pieces: pa.Table) -> bytes:
@@ -221,67 +243,96 @@ def block_bytes(pieces: pa.Table) -> bytes:
     return b"".join([zstandard.decompress(pieces["texts"][int(i)].as_py()) for i in order])
 
 
+def fold_and_sort(rows: list[list]) -> pa.RecordBatch:
+    """Of segments with their keys (anchor, low, high), digests, places and members: place and end of each repeated part of a class of one member, and the digest of each class whose two members were found equal."""
+    anchor, low, high, head, tail, place, members, distance, texts = rows
+    kept: dict[tuple, int] = {}
+    folded = np.zeros(len(texts), bool)
+    for i, key in enumerate(zip(anchor, low, high, head, tail, strict=True)):
+        first = kept.setdefault(key, i)
+        if first != i:
+            if texts[first] == texts[i]:
+                folded[first] = True
+            else:
+                kept[*key, i] = i
+    chosen = [*kept.values()]
+    numbers: dict[tuple, int] = {}
+    sets = np.array([numbers.setdefault((anchor[i], low[i], high[i]), len(numbers)) for i in chosen], np.int64)
+    found = repeated([texts[i] for i in chosen], sets, np.array([distance[i] for i in chosen], np.int64), folded[chosen])
+    out: list[tuple] = []
+    for i, places in zip(chosen, found, strict=True):
+        if not len(places):
+            continue
+        if members[i] > 1:
+            # Both members hold all strings of the class.
+            if len(places) == len(texts[i]) - WIDTH + 1:
+                out.append((head[i], tail[i], None, None))
+            continue
+        gap = np.flatnonzero(np.diff(places) > 1)
+        out += [(None, None, place[i] + int(places[x]), int(places[y] - places[x]) + WIDTH) for x, y in zip(np.append(0, gap + 1), np.append(gap, len(places) - 1), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["head", "tail", "place", "size"])
+
+
 def sort_segments(wanted: DataFrame) -> DataFrame:
-    """wanted: anchor, tile keys low and high, block, low_at, count, distance, segment bytes. Spans block, low_at, high_at of repeated strings."""
+    """wanted: anchor, tile keys low and high, head and tail of the digest, place, members, distance, segment. What fold_and_sort finds, keys one after another."""
     dealt = wanted.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(rows: list[list]) -> pa.RecordBatch:
-            anchor, low, high, block, at, count, distance, texts = rows
-            keys = [*zip(anchor, low, high, strict=True)]
-            numbers = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-            found = repeated(texts, np.array([numbers[k] for k in keys]), np.array(distance))
-            out: list[tuple[int, int, int]] = []
-            for b, a, places in zip(block, at, found, strict=True):
-                if len(places):
-                    gap = np.flatnonzero(np.diff(places) > 1)
-                    out += [(b, a + int(places[x]), a + int(places[y]) + WIDTH) for x, y in zip(np.append(0, gap + 1), np.append(gap, len(places) - 1), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["block", "low_at", "high_at"])
-
-        held: list[list] = [[] for _ in range(8)]
+        held: list[list] = [[] for _ in range(9)]
         size = 0
         for batch in batches:
-            columns = batch.to_pydict()
-            for row in zip(*columns.values(), strict=True):
+            for row in zip(*batch.to_pydict().values(), strict=True):
                 if size > SORTED and row[:3] != tuple(c[-1] for c in held[:3]):
-                    yield spans(held)
-                    held, size = [[] for _ in range(8)], 0
+                    yield fold_and_sort(held)
+                    held, size = [[] for _ in range(9)], 0
                 for c, x in zip(held, row, strict=True):
                     c.append(x)
-                size += len(row[7])
+                size += len(row[8])
         if held[0]:
-            yield spans(held)
+            yield fold_and_sort(held)
+
+    return dealt.select("anchor", "low", "high", "head", "tail", "place", "members", "distance", "segment").mapInArrow(run, "head long, tail long, place long, size long")
+
+
+def block_of(place: str) -> Column:
+    return F.shiftrightunsigned(place, 32)
+
 
-    return dealt.select("anchor", "low", "high", "block", "low_at", "count", "distance", "segment").mapInArrow(run, "block long, low_at long, high_at long")
+def at_of(place: str) -> Column:
+    return F.col(place).bitwiseAND((1 << 32) - 1)
 
 
 def remove_repeats(docs: DataFrame, tile: int = TILE, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) per row of docs.
 
     Null texts are empty. Strings never cross texts; repeats inside one text count; rows that repeat an id are texts of
-    their own. Other columns are left out; an empty table gives none. A text is held whole by one task.
+    their own. Other columns are left out; an empty table gives none. A text is held whole by one task; places are of 64
+    bits: a partition of up to 4,096 blocks, a text of up to 4 GiB (a cell holds 2).
     """
-    pieces = cut(reduce_texts(docs), "suffix-pieces")
-    rows = pieces.select("block", F.explode(F.arrays_zip("anchors", "hashes", "lows", "counts")).alias("s")).select("block", F.col("s.anchors").alias("anchor"), F.col("s.hashes").alias("hash"), F.col("s.lows").alias("low_at"), F.col("s.counts").alias("shape"))
-    # Equal anchors at unequal distances may still share strings, so the shape stays out of the anchor's key.
-    classes = rows.groupBy("anchor", "hash", "shape").agg(F.count("*").alias("m"), F.min(F.struct("block", "low_at")).alias("rep"))
-    classes = cut(classes, "suffix-classes")
-    about = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("_anchor"), F.ceil(F.col("kinds") / tile).cast("int").alias("tiles"))
-    wanted = classes.join(about, F.col("anchor") == F.col("_anchor")).select("anchor", "hash", "tiles", "rep.block", "rep.low_at", F.col("shape").bitwiseAND((1 << 20) - 1).alias("count"), F.shiftright("shape", 20).alias("distance"))
-    wanted = wanted.withColumn("tile", F.pmod("hash", "tiles").cast("int")).groupBy("block").cogroup(pieces.select("block", "start", "texts").groupBy("block"))
+    pieces = bucketed(reduce_texts(docs), "block", max(8, docs.rdd.getNumPartitions()), "suffix-pieces")
+    rows = pieces.select("block", F.explode(F.arrays_zip("anchors", "heads", "tails", "lows", "shapes")).alias("s"))
+    rows = rows.select(F.shiftleft("block", 32).bitwiseOR(F.col("s.lows")).alias("place"), F.col("s.anchors").alias("anchor"), F.col("s.heads").alias("head"), F.col("s.tails").alias("tail"), F.col("s.shapes").alias("shape"))
+    # Equal bytes have one anchor and one shape; equal anchors at unequal distances may still share strings.
+    classes = cut(rows.groupBy("head", "tail").agg(F.count("*").alias("members"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("anchor").alias("anchor"), F.min("shape").alias("shape")), "suffix-classes")
+    total = classes.agg(F.sum("members")).first()[0] or 0
+    about = cut(classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("members").alias("most")).filter("kinds > 1 OR most > 1").select("anchor", F.col("kinds").alias("_n"), F.ceil(F.col("kinds") / tile).cast("int").alias("tiles")), "suffix-anchors")
+    wanted = join_skewed(classes, about, ["anchor"], total).select("anchor", "tiles", "head", "tail", "members", F.col("shape").bitwiseAND((1 << 20) - 1).alias("count"), F.shiftright("shape", 20).alias("distance"), F.explode(F.when(F.col("members") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("place"))
+    wanted = wanted.withColumn("block", block_of("place")).groupBy("block").cogroup(pieces.select("block", "start", "texts").groupBy("block"))
+    passed = ("anchor", "tiles", "head", "tail", "place", "members", "distance")
 
     def fetch(asked: pa.Table, held: pa.Table) -> pa.Table:
         whole = block_bytes(held) if asked.num_rows else b""
-        at, n = asked["low_at"].to_pylist(), asked["count"].to_pylist()
-        return pa.table({**{c: asked[c] for c in ("anchor", "tile", "tiles", "block", "low_at", "count", "distance")}, "segment": pa.array([whole[a : a + k - 1 + WIDTH] for a, k in zip(at, n, strict=True)], pa.binary())})
-
-    fetched = wanted.applyInArrow(fetch, "anchor long, tile int, tiles int, block long, low_at long, count long, distance long, segment binary")
-    dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    partly = sort_segments(dealt)
-    equal = classes.filter("m > 1").select(F.col("anchor").alias("_anchor"), F.col("hash").alias("_hash"), F.col("shape").alias("_shape"))
-    wholly = rows.join(equal, (F.col("anchor") == F.col("_anchor")) & (F.col("hash") == F.col("_hash")) & (F.col("shape") == F.col("_shape")))
-    wholly = wholly.select("block", "low_at", (F.col("low_at") + F.col("shape").bitwiseAND((1 << 20) - 1) - 1 + WIDTH).alias("high_at"))
-    spans = partly.unionByName(wholly).groupBy("block").cogroup(pieces.select("block", "start", "ids", "lengths", "texts").groupBy("block"))
+        at, n = (np.asarray(asked["place"]) & 0xFFFFFFFF).tolist(), asked["count"].to_pylist()
+        return pa.table({**{c: asked[c] for c in passed}, "segment": pa.array([whole[a : a + k - 1 + WIDTH] for a, k in zip(at, n, strict=True)], pa.binary())})
+
+    fetched = wanted.applyInArrow(fetch, "anchor long, tiles int, head long, tail long, place long, members long, distance long, segment binary")
+    dealt = fetched.withColumn("tile", F.pmod("head", "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    found = cut(sort_segments(dealt), "suffix-found")
+    alone = found.filter("place IS NOT NULL").select(block_of("place").alias("block"), at_of("place").alias("low_at"), (at_of("place") + F.col("size")).alias("high_at"))
+    equal = found.filter("place IS NULL").select("head", "tail").distinct().join(classes.filter("members > 1").select("head", "tail", F.col("members").alias("_n")), ["head", "tail"])
+    shared = join_skewed(rows, cut(equal, "suffix-equal"), ["head", "tail"], total)
+    shared = shared.select(block_of("place").alias("block"), at_of("place").alias("low_at"), (at_of("place") + F.col("shape").bitwiseAND((1 << 20) - 1) - 1 + WIDTH).alias("high_at"))
+    spans = alone.unionByName(shared).groupBy("block").cogroup(pieces.select("block", "start", "ids", "lengths", "texts").groupBy("block"))
     kind = pieces.schema["ids"].dataType.elementType.simpleString()
 
     def remove(found: pa.Table, held: pa.Table) -> pa.Table:

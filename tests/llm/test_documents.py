@@ -396,3 +396,49 @@ def test_suffixes_sort_as_bytes():
     for s in range(5):
         want = sorted(suffixes[sets == s].tolist(), key=lambda p: text[p : p + 400])
         assert [text[p : p + 400] for p in got[sets == s].tolist()] == [text[p : p + 400] for p in want]
+
+
+def mixed_segments(rng):
+    """Three segments of one anchor and distance, the outer two of which share their first string."""
+    x, y = rng.integers(65, 91, (2, suffix_dedup.WIDTH)).astype(np.uint8)
+    return [x.tobytes() + b"pp", y.tobytes() + b"qq", x.tobytes() + b"rr"], np.zeros(3, np.int64), np.zeros(3, np.int64)
+
+
+def test_the_suffix_sort_decides_what_repeats(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts, anchors, distances = mixed_segments(rng)
+    assert [x.tolist() for x in suffix_dedup.repeated(texts, anchors, distances)] == [[0], [], [0]]
+    assert [x.tolist() for x in suffix_dedup.repeated(texts, anchors, distances, np.array([False, True, False]))] == [[0], [0, 1, 2], [0]]
+    monkeypatch.setattr(suffix_dedup.SuffixSorter, "sort", lambda self, suffixes, sets: suffixes)
+    assert [x.tolist() for x in suffix_dedup.repeated(texts, anchors, distances)] == [[], [], []]
+
+
+def test_hashes_that_collide_remove_nothing_and_hide_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(suffix_dedup.PrefixHash, "of", lambda self, at, length: np.zeros(len(at), np.uint64))
+    texts, anchors, distances = mixed_segments(rng)
+    assert [x.tolist() for x in suffix_dedup.repeated(texts, anchors, distances)] == [[0], [], [0]]
+
+
+def test_digests_that_collide_fold_nothing():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(65, 91, suffix_dedup.WIDTH + 3).astype(np.uint8).tobytes() for _ in range(2)]
+    rows = [[7, 7], [0, 0], [0, 0], [1, 1], [2, 2], [0, 5000], [2, 2], [0, 0], texts]
+    assert suffix_dedup.fold_and_sort(rows).num_rows == 0
+    rows[-1] = [texts[0], texts[0]]
+    assert suffix_dedup.fold_and_sort(rows).to_pylist() == [{"head": 1, "tail": 2, "place": None, "size": None}]
+
+
+def test_segments_hold_each_string_once_in_chunks_of_any_size(monkeypatch):
+    rng = np.random.default_rng(6)
+    lengths = np.array([0, 5000, 399, 400, 0, 3000])
+    raw = rng.integers(97, 101, lengths.sum()).astype(np.uint8)
+
+    def by_start():
+        anchors, _, _, lows, shapes = suffix_dedup.segments(raw, lengths)
+        return {int(low) + k: (int(a), int(shape >> 20) - k) for a, low, shape in zip(anchors, lows, shapes, strict=True) for k in range(int(shape & ((1 << 20) - 1)))}
+
+    whole = by_start()
+    assert len(whole) == (lengths - 399).clip(0).sum()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    assert by_start() == whole
