@@ -4,8 +4,11 @@ A text longer than a leaf is halved again and again; the leaves are encoded on t
 joined: a window around the join is encoded anew and widened until it shares a token with the left half and one with
 the right half, at the same place and with the same id. Every pair of neighbouring tokens of the joined row then stands
 in a valid encoding (of the left half, the window or the right half), and a row of tokens all of whose neighbouring
-pairs are valid is the encoding of its text. Halves meet between two ASCII characters only, where normalisation can't
-reach across.
+pairs are valid is the encoding of its text. Halves meet between two characters of scripts whose letters stand alone
+(SAFE), where normalisation can't reach across.
+
+The leaves of a text beyond SPREAD characters are rows of their own, dealt over all tasks and encoded there in parallel;
+their text's tree is then joined in one task, where little is encoded anew. Copies of such a text are encoded once.
 
 Leaves look up each run without spaces in a bounded per-process memory, as no token of a tokenizer that drops white
 space crosses a space; runs that are new are encoded by the library in one call.
@@ -24,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_carry, held, table
+from .common import check_carry, cut, held, join_skewed, table
 
 TOKENIZER = "word_bpe_49k.json"
 LEAF = 8192
+#: Characters from which a text's leaves are dealt over tasks.
+SPREAD = 1 << 16
+#: ASCII, and letters of Hebrew, Cyrillic, Arabic, Devanagari, Thai, kana, Han and Hangul that neither compose with what precedes them nor change with it.
+SAFE = re.compile("[\x00-\x7f\u05d0-\u05ea\u0410-\u044f\u0621-\u064a\u0905-\u0939\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]{2}")
 #: Runs held in a process's memory, and the longest that is held.
 MEMORY, LONGEST = 500_000, 60
 
@@ -81,8 +88,8 @@ class TreeEncoder:
         new = [*{w for run in runs for w in run if w not in known}]
         fresh = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(fresh), "<u4").tobytes()
-        ends = np.cumsum([4 * len(x) for x in fresh]).tolist()
-        known.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+        ends = [0, *np.cumsum([4 * len(x) for x in fresh]).tolist()]
+        known.update((w, flat[a:b]) for w, a, b in zip(new, ends, ends[1:], strict=False))
         out = [b"".join(map(known.__getitem__, run)) for run in runs]
         for w in new:
             if len(w) > LONGEST:
@@ -90,20 +97,26 @@ class TreeEncoder:
         return out
 
     def cut_points(self, text: str) -> list[int]:
-        """Where the text is halved, down to leaves: between two ASCII characters near each middle; none if there are none."""
+        """Where the text is halved, down to leaves: between two safe characters near each middle; none if there are none."""
         points: list[int] = []
         todo = [(0, len(text))]
         while todo:
             low, high = todo.pop()
             if high - low <= self.leaf:
                 continue
-            middle = (low + high) // 2
-            at = next((m for d in range(self.leaf // 4) for m in (middle + d, middle - d) if low < m < high and text[m - 1] < "\x80" and text[m] < "\x80"), None)
-            if at is not None:
-                points.append(at)
-                todo += [(low, at), (at, high)]
+            middle, reach = (low + high) // 2, self.leaf // 4
+            after = SAFE.search(text, middle - 1, min(high, middle + reach))
+            before = None if after else SAFE.search(text, max(low, middle - reach), middle + 1)
+            if found := after or before:
+                points.append(found.start() + 1)
+                todo += [(low, found.start() + 1), (found.start() + 1, high)]
         return sorted(points)
 
+    def pieces(self, text: str) -> list[str]:
+        """The leaves of a text."""
+        points = [0, *self.cut_points(text), len(text)] if len(text) > self.leaf else [0, len(text)]
+        return [text[a:b] for a, b in zip(points, points[1:], strict=False)]
+
     def measure(self, text: str) -> int:
         """UTF-8 bytes of the text as tokens cover it: normalised and without white space."""
         return len(re.sub(r"\s+", "", self.library.normalizer.normalize_str(text)).encode())
@@ -145,21 +158,22 @@ class TreeEncoder:
                 return left[: 4 * cut_left[0]] + np.array(fresh[cut_left[1] : cut_right[1]], "<u4").tobytes() + right[4 * cut_right[0] :]
             width *= 2
 
+    def join_tree(self, pieces: list[str], done: list[bytes]) -> bytes:
+        """The ids of a text from those of its leaves: neighbours are joined level by level."""
+        text, ends = "".join(pieces), np.cumsum([len(x) for x in pieces]).tolist()
+        parts = [*zip([0, *ends[:-1]], ends, done, strict=True)]
+        while len(parts) > 1:
+            joined = [(x[0], y[1], self.join(text, x[0], x[1], y[1], x[2], y[2])) for x, y in zip(parts[::2], parts[1::2], strict=False)]
+            parts = joined + ([parts[-1]] if len(parts) % 2 else [])
+        return parts[0][2]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; all leaves of all texts are encoded together."""
-        pieces, spans = [], []
-        for text in texts:
-            points = [0, *self.cut_points(text), len(text)] if len(text) > self.leaf else [0, len(text)]
-            spans.append(points)
-            pieces += [text[a:b] for a, b in zip(points, points[1:], strict=False)]
-        done, out, at = self.leaves(pieces), [], 0
-        for text, points in zip(texts, spans, strict=True):
-            parts = [(points[k], points[k + 1], done[at + k]) for k in range(len(points) - 1)]
-            at += len(parts)
-            while len(parts) > 1:
-                joined = [(x[0], y[1], self.join(text, x[0], x[1], y[1], x[2], y[2])) for x, y in zip(parts[::2], parts[1::2], strict=False)]
-                parts = joined + ([parts[-1]] if len(parts) % 2 else [])
-            out.append(parts[0][2])
+        pieces = [self.pieces(text) for text in texts]
+        done, out, at = self.leaves([*chain.from_iterable(pieces)]), [], 0
+        for own in pieces:
+            out.append(self.join_tree(own, done[at : at + len(own)]))
+            at += len(own)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -173,32 +187,65 @@ def encoder(text: str, leaf: int = LEAF) -> TreeEncoder:
     return held(("bpe", leaf, hash(text)), lambda: TreeEncoder(text, leaf))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, carry: tuple[str, ...] = (), with_ids: bool = False, spread: int = SPREAD) -> DataFrame:
     """A row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, the columns in carry, and ids if asked for.
 
-    tokenizer: the JSON text of a tokenizer. Null and empty texts have no tokens. A text of any length is held by one
-    task; extra columns are left out unless carried; repeated rows give repeated rows; an empty table gives none.
+    tokenizer: the JSON text of a tokenizer. Null and empty texts have no tokens. The leaves of texts beyond spread
+    characters are encoded in tasks of their own; the ids of one text are held by one task. Extra columns are left out
+    unless carried; repeated rows give repeated rows; an empty table gives none.
     """
+    own = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     check_carry(carry, ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tokenizer or tokenizer_json(TOKENIZER))
-    chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], F.coalesce("text", F.lit("")).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    schema = ", ".join([*kinds, "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>"] * with_ids])
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer or tokenizer_json(TOKENIZER))
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    text = F.coalesce("text", F.lit(""))
+    chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], text.alias("_text"))
+    kept = chosen.columns[:-1]
+
+    def results(work: TreeEncoder, ids: list[bytes]) -> list[pa.Array]:
+        columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(work.decode(x)).hexdigest() for x in ids], pa.string())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
+        return columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(sent.value, leaf)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = work.encode(part.column(part.num_columns - 1).to_pylist())
-                columns = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(work.decode(x)).hexdigest() for x in ids])]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-
-    out = chosen.mapInArrow(run, schema)
-    return out.select("doc_id", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *results(work, work.encode(part.column(part.num_columns - 1).to_pylist()))], names=[*kept, *own])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = encoder(sent.value, leaf)
+        for batch in batches:
+            for key, whole in zip(batch.column(0), batch.column(1), strict=True):
+                pieces = work.pieces(whole.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(pieces)), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["_key", "leaf", "piece"])
+
+    def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = encoder(sent.value, leaf)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(work.leaves(batch.column(2).to_pylist()), pa.binary())], names=["_key", "leaf", "piece", "done"])
+
+    def join_leaves(group: pa.Table) -> pa.Table:
+        work = encoder(sent.value, leaf)
+        order = np.argsort(np.asarray(group["leaf"])).tolist()
+        pieces, done = group["piece"].to_pylist(), group["done"].to_pylist()
+        return pa.table([group["_key"][:1].combine_chunks(), *results(work, [work.join_tree([pieces[i] for i in order], [done[i] for i in order])])], names=["_key", *own])
+
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    is_long = F.length("_text") > spread
+    short = chosen.filter(~is_long).mapInArrow(run, f"{plain}, {kinds}")
+    long = chosen.filter(is_long).withColumn("_key", F.sha2("_text", 256))
+    # Few and long: each distinct one is read once more, counted, and cut there.
+    texts = cut(long.groupBy("_key").agg(F.count("*").alias("_n"), F.first("_text").alias("_text")), "long-texts")
+    total = texts.agg(F.sum("_n")).first()[0]
+    if total:
+        leaves = texts.select("_key", "_text").mapInArrow(deal, "_key string, leaf int, piece string").repartition("_key", "leaf")
+        joined = leaves.mapInArrow(encode_leaves, "_key string, leaf int, piece string, done binary").groupBy("_key").applyInArrow(join_leaves, f"_key string, {kinds}")
+        known = cut(joined, "long-ids").join(texts.select("_key", "_n"), "_key")
+        short = short.unionByName(join_skewed(long.select(*kept, "_key"), known, ["_key"], total).select(*kept, *own))
+    return short.select("doc_id", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], *own)
 
 
 def op2_bpe_codec(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,36 @@ def test_tree_concatenation_is_exact(alphabet):
     assert work.rejoined > 100
 
 
+def expected_codec(rows):
+    t, out = library(bpe.TOKENIZER), Bag()
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        out[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    return out
+
+
+def found_codec(docs, **options):
+    return Bag((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(docs, **options).collect())
+
+
+@pytest.mark.parametrize("rows", [[(1, None), (2, "")], [(i, "the same words again") for i in range(1300)]])
+def test_batches_without_new_runs(spark, rows):
+    assert found_codec(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == expected_codec(rows)
+
+
+def test_long_texts_are_dealt_by_leaves_and_joined_exactly(spark):
+    rng = random.Random(8)
+    han = "".join(chr(rng.randint(0x4E00, 0x5000)) for _ in range(9000))
+    long = ["".join(rng.choice("the ion's re'll é日!\n") for _ in range(7000)), han, "x" * 5000, "привет мир " * 600, "é" * 3000]
+    rows = [*enumerate([*long, "short", None, ""]), (0, long[0]), (None, long[1]), (77, han)]
+    docs = spark.createDataFrame([(*r, "clash", "s") for r in rows], "doc_id long, text string, _key string, source string").repartition(3)
+    assert found_codec(docs, leaf=256, spread=2000) == expected_codec(rows)
+    found = bpe.encode_documents(docs, leaf=256, spread=2000, carry=("source", "text"), with_ids=True).collect()
+    assert all(r["source"] == "s" and len(r["ids"]) == r["n_tokens"] for r in found) and len(found) == len(rows)
+    work = bpe.TreeEncoder(bpe.tokenizer_json(bpe.TOKENIZER), leaf=256)
+    assert max(map(len, work.pieces(han))) <= 256
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.TreeEncoder(bpe.tokenizer_json(token_counts.TOKENIZER))
