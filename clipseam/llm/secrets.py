@@ -1,10 +1,12 @@
 """Secret scans by one combined deterministic automaton.
 
-The rules' regexes become one non-deterministic automaton that may start anywhere; subset construction over byte
-classes and partition refinement make it the smallest deterministic one, laid out as transition arrays. A text takes
-one pass over its bytes through these, whatever the number of rules, and comes out with the set of rules that match
-somewhere in it. Only for those rules, and only in those texts, the rule's own anchored automaton then gives the spans:
-leftmost, longest, without overlap within the rule. Python's ``re`` serves as the parser of the rules alone.
+The rules' regexes become one non-deterministic automaton; subset construction over byte classes and partition
+refinement make it the smallest deterministic one, laid out as a flat array of transitions. A text takes one pass over
+its bytes through this array, whatever the number of rules. The pass runs from the end of the text to its start through the
+reversed rules, so it comes out with every place at which a match of a rule starts, and nothing has to be
+tried elsewhere. From each rule's first such place that no earlier match of the rule covers, the rule's own automaton
+runs to the match's longest end; matches of a rule don't overlap, so these runs stay within the matched bytes and the
+whole is linear in the text. Python's ``re`` serves as the parser of the rules alone.
 """
 
 from __future__ import annotations
@@ -47,15 +49,16 @@ ASSIGN_HEAD = re.compile(rb"[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?")
 
 @dataclass
 class Automaton:
-    """moves[state, byte] is the next state; accepts[state] has a bit per rule; state 0 starts; dead is where nothing can follow."""
+    """moves[state * 256 + byte] is the next state times 256; accepts[state] has a bit per rule, and states from ``last`` on are those with any; state 0 starts, and nothing can follow in the dead one."""
 
-    moves: np.ndarray
-    accepts: np.ndarray
+    moves: list[int]
+    accepts: list[int]
+    last: int
     dead: int
 
 
-def compile_rules(patterns: list[str], anywhere: bool) -> Automaton:
-    """The smallest automaton for the patterns; anywhere: a match may start at any byte."""
+def compile_rules(patterns: list[str], backward: bool) -> Automaton:
+    """The smallest automaton for the patterns; backward: it reads from a text's end, a match may end at any byte, and accepts where one starts."""
     arcs: list[list[tuple[frozenset[int], int]]] = [[]]
     empty: list[list[int]] = [[]]
 
@@ -109,11 +112,20 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Automaton:
             at = to
         return at
 
-    ends = {}
+    ends, begins = {}, {}
     for k, pattern in enumerate(patterns):
         begin = state()
-        empty[0].append(begin)
+        begins[begin] = 1 << k
         ends[add(_parser.parse(pattern.encode()), begin)] = 1 << k
+    if backward:
+        back_arcs, back_empty = [[] for _ in arcs], [[] for _ in arcs]
+        for at, own in enumerate(arcs):
+            for chars, to in own:
+                back_arcs[to].append((chars, at))
+            for to in empty[at]:
+                back_empty[to].append(at)
+        arcs, empty, begins, ends = back_arcs, back_empty, ends, begins
+    empty[0] += begins
     sets = sorted({s for a in arcs for s, _ in a}, key=sorted)
     signatures = [tuple(b in s for s in sets) for b in range(256)]
     kinds = {s: i for i, s in enumerate(dict.fromkeys(signatures))}
@@ -135,7 +147,7 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Automaton:
         row = []
         for b in one_of:
             to = closed([t for s in states for chars, t in arcs[s] if b in chars])
-            to = to | first if anywhere else to
+            to = to | first if backward else to
             if to not in numbers:
                 numbers[to] = len(order)
                 order.append(to)
@@ -149,71 +161,64 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Automaton:
         if finer.max() == part.max():
             break
         part = finer
-    rename = np.full(part.max() + 1, -1)
-    for state_ in range(len(part)):  # numbers by first use, so that 0 starts
-        if rename[part[state_]] < 0:
-            rename[part[state_]] = rename.max() + 1
-    part = rename[part]
+    # Numbered anew: the start, those that accept nothing, those that accept.
     keep = np.unique(part, return_index=True)[1]
-    small = part[table_[keep]][:, byte_class]
     marks = accepts[keep]
+    order_ = np.lexsort((np.arange(len(keep)) != part[0], marks > 0))
+    rename = np.argsort(order_)
+    small = rename[part[table_[keep]]][order_][:, byte_class]
+    marks = marks[order_]
+    if marks[0]:
+        raise ValueError("a rule must not match the empty text")
     dead = next((s for s in range(len(keep)) if not marks[s] and (small[s] == s).all()), -1)
-    return Automaton(small, marks, dead)
+    return Automaton((small * 256).ravel().tolist(), marks.tolist(), int((marks == 0).sum()), dead)
 
 
 class Scanner:
     def __init__(self, rules: dict[str, tuple[str, int]]):
         self.kinds = list(rules)
         self.least = [n for _, n in rules.values()]
-        combined = compile_rules([p for p, _ in rules.values()], True)
-        rows: list[list] = [[None] * 257 for _ in combined.accepts]
-        for row, moves, marks in zip(rows, combined.moves.tolist(), combined.accepts.tolist(), strict=True):
-            row[:256] = [rows[s] for s in moves]
-            row[256] = marks
-        self.start = rows[0]
-        self.single = []
-        for pattern, _ in rules.values():
-            own = compile_rules([pattern], False)
-            self.single.append((own.moves.tolist(), own.accepts.tolist(), own.dead, own.moves[0] != own.dead))
-
-    def matching(self, text: bytes) -> int:
-        """A bit for each rule that matches somewhere, from one pass over the bytes."""
-        row, seen = self.start, 0
-        for b in text:
-            row = row[b]
-            if row[256]:
-                seen |= row[256]
-        return seen
+        self.combined = compile_rules([p for p, _ in rules.values()], True)
+        self.single = [compile_rules([p], False) for p, _ in rules.values()]
+
+    def starts(self, text: bytes) -> list[list[int]]:
+        """For each rule the places at which a match starts, from the last to the first: one pass over the bytes."""
+        moves, accepts, first = self.combined.moves, self.combined.accepts, self.combined.last * 256
+        found: list[list[int]] = [[] for _ in self.kinds]
+        state, end = 0, len(text) - 1
+        for i, b in enumerate(reversed(text)):
+            state = moves[state + b]
+            if state >= first:
+                seen = accepts[state >> 8]
+                while seen:
+                    found[(seen & -seen).bit_length() - 1].append(end - i)
+                    seen &= seen - 1
+        return found
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) in code points, by start, then rule."""
-        seen = self.matching(text)
-        if not seen:
-            return []
-        found, raw = [], np.frombuffer(text, np.uint8)
-        for k in range(len(self.kinds)):
-            if not seen >> k & 1:
+        found = []
+        for k, starts in enumerate(self.starts(text)):
+            if not starts:
                 continue
-            moves, accepts, dead, first = self.single[k]
-            free = 0
-            for at in np.flatnonzero(first[raw]).tolist():
+            own, free = self.single[k], 0
+            moves, first, dead = own.moves, own.last * 256, own.dead * 256
+            for at in reversed(starts):
                 if at < free:
                     continue
                 state, end = 0, -1
                 for i in range(at, len(text)):
-                    state = moves[state][text[i]]
+                    state = moves[state + text[i]]
                     if state == dead:
                         break
-                    if accepts[state]:
+                    if state >= first:
                         end = i + 1
-                if end < 0:
-                    continue
                 free = end
                 head = ASSIGN_HEAD.match(text, at, end).end() if self.kinds[k] == "assign" else at
                 if end - head >= self.least[k]:
                     found.append((at, end, k))
-        if not text.isascii():
-            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        if found and not text.isascii():
+            point = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
             found = [(int(point[a]), int(point[b]), k) for a, b, k in found]
         return sorted(found, key=lambda x: (x[0], x[2]))
 

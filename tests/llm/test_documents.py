@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter as Bag
 
@@ -201,6 +202,17 @@ def test_issued_forms_and_redaction(spark, edge_docs):
     assert secrets.redact_secrets(edge_docs).columns == edge_docs.columns
 
 
+def test_scans_are_linear_in_the_text():
+    scan = secrets.Scanner(secrets.RULES)
+    web = b"eyJaaaaaaaaaaaaaaaaaaaaaaa.eyJbbbbbbbbbbbbbbbbb.cccccccc"
+    began = time.monotonic()
+    for text in (b"eyJ" * 350_000 + b" " + web, b"eyJ" * 350_000 + b".eyJa.x", b"token" * 200_000 + b"=abcdef", b"-----BEGIN " * 90_000 + b"PRIVATE KEY-----"):
+        assert scan.spans(text)
+    assert time.monotonic() - began < 20
+    with pytest.raises(ValueError):
+        secrets.compile_rules(["a*"], True)
+
+
 # Quality
 
 
