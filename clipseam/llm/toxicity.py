@@ -1,15 +1,16 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and stems (the first letters of longer words, told apart by whether a text has them once, twice, three
-or five times). The terms kept are those that stand in toxic training rows significantly more often than in others.
-Texts are TF-IDF vectors over these terms. The index is inverted, with the examples in blocks and each
-term's largest weight per block: a query bounds every block's cosine from above, visits blocks from the highest bound
-down, and stops when the next bound cannot reach its k-th best; so the k nearest are exact. Ties at the k-th place all
-vote. Votes weigh by closeness, are smoothed by the examples' base rate, and a logistic curve fitted on leave-one-out
-votes calibrates them. The nearest examples' ids are the evidence.
-
-The classifier is fitted on a bounded sample: the SAMPLE labelled training rows of the lowest hashed ids. Of these, the
-index holds at most EXAMPLES rows with a kept term, and TERMS terms (the most significant ones).
+Terms are words, and the first STEMS letters of longer words, told apart by whether a text has them once, twice, three or
+five times. Every term of the examples is indexed. A text is a TF-IDF vector over these terms; a term's idf is raised by
+how far it stands in more toxic training rows than chance explains (the signed root of its log-likelihood ratio), and
+no term's weight is zero. The index is inverted, with the examples in blocks and each term's largest weight per block: a
+query bounds every block's cosine from above, visits blocks from the highest bound down, and stops when the next bound
+cannot reach its k-th best; so the k nearest are exact. Ties at the k-th place all vote. Votes weigh by closeness and by
+the rows that an example of its label stands for, are smoothed by the base rate, and a logistic curve fitted on
+leave-one-out votes calibrates them. The nearest examples' ids are the evidence.
+
+The classifier is fitted on a bounded sample: the SAMPLE labelled training rows of the lowest hashed ids give the terms'
+statistics, near copies among them counted once, and EXAMPLES rows of each label the index.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import check_carry, cut, fit_curve, fold_of, held, table
 
-NEIGHBOURS, SAMPLE, EXAMPLES, TERMS, BLOCK = 25, 24_000, 8192, 4096, 64
-STEMS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
-#: A term's chi-square with one degree of freedom at least: beyond chance among a million terms. Its odds against the base at least.
-CHI_SQUARE, LIFT = 33.0, 3.0
+NEIGHBOURS, SAMPLE, EXAMPLES, BLOCK = 9, 24_000, 512, 64
+STEMS, LEVELS = (4, 6), (1, 2, 3, 5)
+#: The part of the idf that every term has; deviations from equal shares that chance explains; blocks visited at a time.
+FLOOR, CHANCE, VISIT = 0.02, 3.0, 8
+#: Words that a process remembers.
+WORDS = 60_000
 FIND = re.compile(r"[^\W\d_]+").findall
 
 
@@ -47,116 +50,168 @@ def terms_of(text: str) -> dict[str, int]:
     return dict(words) | {f"{s}*{level}": 1 for s, n in stems.items() for level in LEVELS if n >= level}
 
 
+def copy_key(text: str) -> int:
+    """The smallest hash of two words in a row; near copies mostly share it."""
+    words = FIND(text.lower())
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in {*zip(words, words[1:], strict=False)}), default=zlib.crc32(" ".join(words).encode()))
+
+
+def term_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Of terms in so many toxic and clean rows: the idf, raised by the root of the log-likelihood ratio beyond CHANCE where the term leans to toxic rows."""
+    n, rows = n_toxic + n_clean, toxic + clean
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+
+    ratio = 2 * (part(toxic, rows * n_toxic / n) + part(clean, rows * n_clean / n) + part(n_toxic - toxic, (n - rows) * n_toxic / n) + part(n_clean - clean, (n - rows) * n_clean / n))
+    raised = np.where(toxic * n_clean > clean * n_toxic, np.sqrt(np.maximum(ratio, 0)), 0)
+    return (np.log((1 + n) / (1 + rows)) + 1) * (FLOOR + np.maximum(raised - CHANCE, 0))
+
+
 class TermFinder(dict):
-    """The kept terms of texts; as a dict it remembers the kept word and stems of each word met, within bounds."""
+    """The terms of texts as numbers; as a dict it remembers the numbers of each word met and of its stems, within bounds."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
-        self.stems = {t.partition("*")[0] for t in terms if "*" in t}
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 60_000:
+        self.stems: dict[str, int] = {}
+        rows: list[list[int]] = []
+        for t, i in terms.items():
+            stem, star, level = t.partition("*")
+            if star:
+                if stem not in self.stems:
+                    self.stems[stem] = len(rows)
+                    rows.append([-1] * len(LEVELS))
+                rows[self.stems[stem]][LEVELS.index(int(level))] = i
+        self.levels = np.array(rows, np.int64).reshape(-1, len(LEVELS))
+        self.numbers = np.zeros((WORDS, 1 + len(STEMS)), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        """The word's row in numbers: its own term, then its stems; -1 for none."""
+        row = len(self)
+        self.numbers[row] = [self.terms.get(word, -1), *[self.stems.get(word[:k], -1) if len(word) > k else -1 for k in STEMS]]
+        self[word] = row
+        return row
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text, and 1 + log of their counts."""
+        words = Counter(FIND(text.lower()))
+        if len(self) + len(words) > len(self.numbers):
             self.clear()
-        found = tuple([word] * (word in self.terms) + [f"{word[:k]}*" for k in STEMS if len(word) > k and word[:k] in self.stems])
-        self[word] = found
-        return found
-
-    def counts(self, text: str) -> dict[str, int]:
-        found = Counter(x for f in map(self.__getitem__, FIND(text.lower())) if f for x in f)
-        out = {w: n for w, n in found.items() if w[-1] != "*"}
-        out.update((t, 1) for s, n in found.items() if s[-1] == "*" for level in LEVELS if n >= level and (t := f"{s}{level}") in self.terms)
-        return out
+            if len(words) > len(self.numbers):
+                self.numbers = np.zeros((2 * len(words), 1 + len(STEMS)), np.int32)
+        found = self.numbers[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+        n = np.fromiter(words.values(), float, len(words))
+        known, stems = found[:, 0] >= 0, found[:, 1:] >= 0
+        which, inverse = np.unique(found[:, 1:][stems], return_inverse=True)
+        times = np.bincount(inverse, np.broadcast_to(n[:, None], stems.shape)[stems], len(which))
+        levels = self.levels[which]
+        levels = levels[(levels >= 0) & (times[:, None] >= np.array(LEVELS))]
+        return np.concatenate([found[known, 0], levels]), np.concatenate([1 + np.log(n[known]), np.ones(len(levels))])
 
 
 @dataclass
 class NearestExamples:
-    """The k nearest of weighted sparse vectors, by block-max search."""
+    """The k nearest of weighted sparse vectors, by block-max search. vectors: term numbers and values of each example; share: rows that an example stands for."""
 
     ids: list
     labels: np.ndarray
-    vectors: list[dict[int, float]]
+    vectors: list[tuple[np.ndarray, np.ndarray]]
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     base: float = 0.0
-    unmatched: float = 0.0
+    share: np.ndarray | None = None
     curve: tuple[float, float] | None = None
     k: int = NEIGHBOURS
     memory: dict = field(default_factory=dict)
     visited: int = 0
-    finder: TermFinder | None = None
 
     def __post_init__(self):
-        # Toxic and other examples of one direction stand near each other, so that blocks have tight bounds.
-        order = sorted(range(len(self.vectors)), key=lambda i: (sorted(self.vectors[i].items(), key=lambda x: (-x[1], x[0])), str(self.ids[i])))
+        # Examples with the same leading terms stand near each other, so that blocks have tight bounds.
+        lead = [tuple(t[np.lexsort((t, -w))[:3]].tolist()) for t, w in self.vectors]
+        order = sorted(range(len(self.vectors)), key=lambda i: (lead[i], str(self.ids[i])))
         self.ids, self.labels, self.vectors = [self.ids[i] for i in order], self.labels[order], [self.vectors[i] for i in order]
+        self.share = np.ones(len(order)) if self.share is None else self.share[order]
         self.blocks = -(-len(order) // BLOCK)
+        self.open()
+
+    def open(self) -> None:
+        """The inverted index: postings by block and term, and each term's largest weight per block."""
+        lengths = [len(t) for t, _ in self.vectors]
+        example = np.repeat(np.arange(len(lengths)), lengths)
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in self.vectors]])
+        value = np.concatenate([np.zeros(0), *[w for _, w in self.vectors]])
+        slot = (example // BLOCK) * len(self.terms) + term
+        order = np.argsort(slot, kind="stable")
+        self.place, self.value = example[order], value[order]
+        self.begin = np.searchsorted(slot[order], np.arange(self.blocks * len(self.terms) + 1)).astype(np.int32)
         self.top = np.zeros((len(self.terms), self.blocks), np.float32)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, vector in enumerate(self.vectors):
-            for t, w in vector.items():
-                postings.setdefault((i // BLOCK, t), []).append((i % BLOCK, w))
-                self.top[t, i // BLOCK] = max(self.top[t, i // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-        self.postings = {k: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for k, v in postings.items()}
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        raw = {self.terms[w]: (1 + math.log(n)) * float(self.idf[self.terms[w]]) for w, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in sorted(raw.items())}
-
-    def nearest(self, query: dict[int, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        np.maximum.at(self.top, (term, example // BLOCK), np.nextafter(value.astype(np.float32), np.float32(2)))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "value", "begin", "top", "finder")} | {"memory": {}}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.open()
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a common term, ties at the end included; without: an example to leave out."""
-        bound = sum(w * self.top[t].astype(float) for t, w in query.items()) * (1 + 1e-6)
-        places, cosines, least = [], [], 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or bound[block] < least - 1e-9:
+        bound = (values[:, None] * self.top[terms]).sum(0) * (1 + 1e-6)
+        order, at, cos, least = np.argsort(-bound, kind="stable"), np.zeros(0, np.int64), np.zeros(0), 0.0
+        for k in range(0, len(order), VISIT):
+            chosen = order[k : k + VISIT]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-9)]
+            if not len(chosen):
                 break
-            self.visited += 1
-            sums = np.zeros(BLOCK)
-            for t, w in query.items():
-                if found := self.postings.get((block, t)):
-                    sums[found[0]] += w * found[1]
-            if without // BLOCK == block:
-                sums[without % BLOCK] = 0
+            self.visited += len(chosen)
+            slots = (chosen[:, None] * len(self.terms) + terms).ravel()
+            first = self.begin[slots]
+            n = self.begin[slots + 1] - first
+            own = np.flatnonzero(n)
+            first, n = first[own], n[own]
+            posting = np.repeat(first - np.cumsum(n) + n, n)
+            posting += np.arange(len(posting), dtype=posting.dtype)
+            sums = np.bincount(self.place[posting], np.repeat(values[own % len(values)], n) * self.value[posting], len(self.ids))
+            if without >= 0:
+                sums[without] = 0
             hit = np.flatnonzero(sums > 0)
-            places.append(hit + block * BLOCK)
-            cosines.append(sums[hit])
-            both = np.concatenate(cosines)
-            if len(both) >= self.k:
-                least = float(np.partition(both, len(both) - self.k)[len(both) - self.k])
-        if not places:
-            return np.zeros(0, int), np.zeros(0)
-        at, cos = np.concatenate(places), np.concatenate(cosines)
+            at, cos = np.append(at, hit), np.append(cos, sums[hit])
+            if len(cos) >= self.k:
+                least = float(np.partition(cos, len(cos) - self.k)[len(cos) - self.k])
         keep = cos >= least - 1e-9
         at, cos = at[keep], cos[keep]
         order = np.lexsort((at, -cos.round(9)))
         return at[order], cos[order]
 
-    def vote(self, query: dict[int, float], without: int = -1) -> tuple[float, np.ndarray]:
-        at, cos = self.nearest(query, without)
-        weight = 1 / (1.05 - np.minimum(cos, 1))
+    def vote(self, terms: np.ndarray, values: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
+        at, cos = self.nearest(terms, values, without)
+        weight = self.share[at] / (1.05 - np.minimum(cos, 1))
         return (float((weight * self.labels[at]).sum()) + self.base) / (float(weight.sum()) + 1), at
 
     def calibrate(self) -> None:
-        """Fits the curve on what each example's vote is without itself; needs both labels."""
+        """Fits the curve on what each of the (at most two times EXAMPLES) examples' votes are without itself; needs both labels."""
         if len({*self.labels.tolist()}) < 2:
             return
-        votes = np.array([self.vote(v, i)[0] for i, v in enumerate(self.vectors)])
-        votes = votes.clip(1e-6, 1 - 1e-6)
-        self.curve = fit_curve(np.log(votes / (1 - votes)), self.labels)
+        votes = np.array([self.vote(*v, i)[0] for i, v in enumerate(self.vectors)]).clip(1e-6, 1 - 1e-6)
+        self.curve = fit_curve(np.log(votes / (1 - votes)), self.labels, self.share)
+
+    def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = times * self.weights[terms]
+        return terms, values / math.sqrt(float(values @ values))
 
     def score(self, text: str) -> tuple[float, list]:
-        """A text's calibrated score, and the ids of its three nearest examples."""
-        if self.finder is None:
+        """A text's calibrated score, and the ids of its three nearest examples; the base rate for a text without a term of theirs."""
+        if "finder" not in self.__dict__:
             self.finder = TermFinder(self.terms)
-        counts = self.finder.counts(text)
-        if not counts or not self.ids:
-            return self.unmatched, []
-        key = tuple(sorted(counts.items()))
+        terms, times = self.finder.counts(text)
+        if not len(terms):
+            return self.base, []
+        key = hash((terms.tobytes(), times.tobytes()))
         if key not in self.memory:
             if len(self.memory) > 5_000:
                 self.memory.clear()
-            vote, at = self.vote(self.vector(counts))
+            vote, at = self.vote(*self.unit(terms, times))
             if self.curve:
                 vote = min(max(vote, 1e-6), 1 - 1e-6)
                 vote = 1 / (1 + math.exp(-max(-50.0, min(50.0, self.curve[0] * math.log(vote / (1 - vote)) + self.curve[1]))))
@@ -167,7 +222,8 @@ class NearestExamples:
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; rows with null are left out). train: a condition on doc_id.
 
-    A document with several labels counts once for each. What reaches the driver: the kept terms and the examples.
+    A document with several labels counts once for each. What reaches the driver: SAMPLE ids, and the examples with the
+    statistics of their terms.
     """
     spark = docs.sparkSession
     marked = labels.filter(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -175,63 +231,59 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     drawn = marked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(SAMPLE).collect()
     marked = F.broadcast(spark.createDataFrame([(r["_id"], r["toxic"]) for r in drawn], marked.schema))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
-    rows = cut(rows, "labelled")
+
+    def mark_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copy_key(t.as_py()) for t in batch.column(2)], pa.int64())], names=["doc_id", "toxic", "text", "copy"])
+
+    rows = cut(rows.mapInArrow(mark_copies, "doc_id string, toxic int, text string, copy long"), "labelled")
+    # One of near copies: the others would make all its words look significant.
+    first = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+    chosen = rows.groupBy("toxic", "copy").agg(F.min(first).alias("f")).select("toxic", F.col("copy").alias("_copy"), F.col("f.hash").alias("hash"), F.col("f.doc_id").alias("_doc"))
+    chosen = cut(chosen, "chosen")
+    n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    base = n_toxic / max(1, n_toxic + n_clean)
+    if not n_toxic or not n_clean:
+        return NearestExamples([], np.zeros(0), [], {}, np.zeros(0), base)
+    indexed = [r["_doc"] + f" {y}" for y in (0, 1) for r in chosen.filter(F.col("toxic") == y).orderBy("hash", "_doc", "_copy").limit(EXAMPLES).collect()]
+    # Rows of one id and label that differ in text share a copy key only as near copies; repeated ones fall together.
+    alone = rows.join(F.broadcast(chosen.select(F.col("toxic").alias("_toxic"), "_copy", "_doc")), (F.col("toxic") == F.col("_toxic")) & (F.col("copy") == F.col("_copy")) & (F.col("doc_id") == F.col("_doc")))
+    alone = alone.groupBy("toxic", "copy").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")).select("doc_id", "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([n * (k[1] == 1) for k, n in found.items()], pa.int64()), pa.array([n * (k[1] == 0) for k, n in found.items()], pa.int64())], names=["term", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([n * (k[1] == 1) for k, n in found.items()], pa.int64()), pa.array([n * (k[1] == 0) for k, n in found.items()], pa.int64())], names=["term", "a", "b"])
 
         for batch in batches:
             for label, text in zip(batch.column(1), batch.column(2), strict=True):
                 y = label.as_py()
-                found[("", y)] += 1
                 found.update((t, y) for t in terms_of(text.as_py()))
                 if len(found) > 200_000:
                     yield flush()
                     found.clear()
         yield flush()
 
-    terms = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    terms = cut(terms, "terms")
-    whole = terms.filter("term = ''").first()
-    n_toxic, n_clean = (int(whole["a"]), int(whole["b"])) if whole else (0, 0)
-    n = n_toxic + n_clean
-    if not n_toxic or not n_clean:
-        return NearestExamples([], np.zeros(0), [], {}, np.zeros(0), n_toxic / max(n, 1), n_toxic / max(n, 1))
-
-    def significant(a: Column, b: Column) -> Column:
-        a, b, c, d = a.cast("double"), b.cast("double"), n_toxic - a, n_clean - b
-        chi = F.pow(F.greatest(F.abs(a * d - b * c) - n / 2.0, F.lit(0.0)), 2) * float(n) / ((a + b) * F.greatest(c + d, F.lit(1.0)) * float(n_toxic) * float(n_clean))
-        return F.when(a / (a + b) > LIFT * n_toxic / n, chi).otherwise(0.0)
-
-    picked = terms.filter("term <> ''").withColumn("chi", significant(F.col("a"), F.col("b"))).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    sent = spark.sparkContext.broadcast({r["term"] for r in picked})  # TERMS at most
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            found, least = [], []
-            for text in batch.column(2):
-                text = text.as_py()
-                found.append({t: n for t, n in terms_of(text).items() if t in known})
-                least.append(min((zlib.crc32(w.encode()) for w in {*FIND(text.lower())}), default=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[*c.keys()] for c in found], pa.list_(pa.string())), pa.array([[*c.values()] for c in found], pa.list_(pa.int64())), pa.array(least, pa.int64())], names=["doc_id", "toxic", "words", "counts", "least"])
-
-    vectors = cut(rows.mapInArrow(hold, "doc_id string, toxic int, words array<string>, counts array<long>, least long"), "vectors")
-    # Copies of one toxic text make all its words look significant: a term must hold with rows of one least word hash, as near copies have, counted once.
-    apart = vectors.select("toxic", "least", F.explode("words").alias("term")).distinct().groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    sound = {r["term"] for r in apart.filter(significant(F.col("a"), F.col("b")) >= CHI_SQUARE).select("term").collect()}
-    picked = sorted((r for r in picked if r["term"] in sound), key=lambda r: r["term"])
-    names = {r["term"]: i for i, r in enumerate(picked)}
-    idf = np.array([math.log((1 + n) / (1 + r["a"] + r["b"])) + 1 for r in picked])
-    held = F.arrays_overlap("words", F.array(*[F.lit(x) for x in names])) if names else F.lit(False)
-    none = vectors.filter(~held).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    taken = vectors.filter(held).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "words", "counts").limit(EXAMPLES).collect()
+    alone = cut(alone, "examples")
+    terms = alone.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    taken = sorted(alone.filter(F.concat_ws(" ", "doc_id", "toxic").isin(indexed)).collect(), key=lambda r: (r["toxic"], r["doc_id"]))
+    counts = [terms_of(r["text"]) for r in taken]
+    held_terms = spark.createDataFrame(pa.table({"_term": pa.array(sorted({t for c in counts for t in c}), pa.string())}))
+    known = terms.join(held_terms, F.col("term") == F.col("_term")).select("term", "a", "b").toArrow().sort_by("term")
+    names = {t: i for i, t in enumerate(known["term"].to_pylist())}
+    weights = term_weights(np.asarray(known["a"], float), np.asarray(known["b"], float), n_toxic, n_clean)
     labels_ = np.array([r["toxic"] for r in taken], float)
-    model = NearestExamples([], np.zeros(0), [], names, idf)
-    model = NearestExamples([r["doc_id"] for r in taken], labels_, [model.vector({w: c for w, c in zip(r["words"], r["counts"], strict=True) if w in names}) for r in taken], names, idf, float(labels_.mean()) if len(taken) else 0.0, ((none["t"] or 0) + n_toxic / n) / (none["n"] + 1))
+    share = np.where(labels_ > 0, n_toxic / max(1, labels_.sum()), n_clean / max(1, (1 - labels_).sum()))
+    vectors, keep = [], []
+    for i, c in enumerate(counts):
+        if c:
+            at, times = np.array([names[t] for t in c], np.int64), np.array([1 + math.log(k) for k in c.values()])
+            values = times * weights[at]
+            vectors.append((at, values / math.sqrt(float(values @ values))))
+            keep.append(i)
+    model = NearestExamples([taken[i]["doc_id"] for i in keep], labels_[keep], vectors, names, weights, base, share[keep] / share[keep].mean() if keep else None)
     model.calibrate()
     return model
 
@@ -239,14 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
 def score_toxicity(docs: DataFrame, model: NearestExamples, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of docs: doc_id, score (0 to 1), predicted (1 if score >= threshold), evidence, the columns in carry.
 
-    Null and empty texts, and texts without any picked term, get the rate of toxic rows among such training rows;
-    without both labels in training every text gets the base rate. Repeated rows give repeated rows; extra columns are
-    left out unless carried; an empty table gives none.
+    Null and empty texts, and texts without any term of the examples, get the base rate of the training rows, as every text does
+    without both labels in training. A text of any length is scored whole. Repeated rows give repeated rows; extra columns
+    are left out unless carried; an empty table gives none.
     """
     check_carry(carry, ("doc_id", "score", "predicted", "evidence"))
-    model.memory.clear()
-    model.finder, token = None, uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # EXAMPLES vectors over TERMS terms at most
+    token = uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # twice EXAMPLES vectors at most
     # The text travels once, also when it is carried.
     chosen = docs.select("doc_id", *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry) if c != "text"], F.col("text").alias("_text"))
     kept = [f for f in chosen.schema.fields if f.name != "_text" or "text" in carry]

@@ -253,20 +253,39 @@ def test_quality_is_learned_on_rows_it_did_not_see(spark, small_folder):
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     terms = {f"t{i}": i for i in range(40)}
-    make = lambda: {int(t): float(w) for t, w in zip(rng.choice(40, 4, replace=False), rng.random(4) + 0.1, strict=True)}
-    unit = lambda v: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in sorted(v.items())}
-    vectors = [unit(make()) for _ in range(900)]
-    model = toxicity.NearestExamples([*range(900)], rng.integers(0, 2, 900).astype(float), vectors, terms, np.ones(40), k=10)
-    dense = np.zeros((900, 40))
-    for i, v in enumerate(model.vectors):
-        dense[i, [*v]] = [*v.values()]
+
+    def unit():
+        t, w = np.sort(rng.choice(40, 4, replace=False)), rng.random(4) + 0.1
+        return t, w / np.sqrt((w * w).sum())
+
+    model = toxicity.NearestExamples([*range(3000)], rng.integers(0, 2, 3000).astype(float), [unit() for _ in range(3000)], terms, np.ones(40), k=10)
+    dense = np.zeros((3000, 40))
+    for i, (t, w) in enumerate(model.vectors):
+        dense[i, t] = w
     for _ in range(50):
-        q = unit(make())
-        full = dense[:, [*q]] @ np.array([*q.values()])
-        at, cos = model.nearest(q)
+        t, w = unit()
+        full = dense[:, t] @ w
+        at, cos = model.nearest(t, w)
         bar = np.sort(full)[-10]
         assert set(at.tolist()) == set(np.flatnonzero(full >= bar - 1e-9).tolist()) and cos == pytest.approx(full[at])
-    assert model.visited < 50 * model.blocks  # blocks were passed over
+        assert int(at[0]) not in model.nearest(t, w, int(at[0]))[0]
+    assert model.visited < 100 * model.blocks  # blocks were passed over
+
+
+def test_terms_are_found_as_they_are_counted():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["abcdefg", "abcde", "abcdx", "ab", "réeuxment", "réeuxa", "x1y", "B"]) for _ in range(rng.randint(0, 12))) for _ in range(50)]
+    names = sorted({t for x in texts for t in toxicity.terms_of(x)})
+    finder = toxicity.TermFinder({t: i for i, t in enumerate(names)})
+    finder.numbers = finder.numbers[:5]  # forgets again and again
+    for x in [*texts, " ".join(f"w{chr(97 + i % 26)}{'z' * i}" for i in range(40))]:
+        at, times = finder.counts(x)
+        assert {names[i]: round(math.exp(t - 1)) for i, t in zip(at, times, strict=True)} == {t: n for t, n in toxicity.terms_of(x).items() if t in finder.terms}
+
+
+def test_weights_rise_with_the_evidence_and_none_is_zero():
+    w = toxicity.term_weights(np.array([50.0, 1, 10, 0]), np.array([0.0, 0, 90, 50]), 100, 900)
+    assert (w > 0).all() and w[0] > 100 * w[2] and w[1] < w[0] / 50
 
 
 def test_toxicity_on_rows_it_did_not_see(spark, small_folder, edge_docs, edge_rows, no_docs):
@@ -277,7 +296,7 @@ def test_toxicity_on_rows_it_did_not_see(spark, small_folder, edge_docs, edge_ro
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in part)
         assert np.mean([r["predicted"] == r["toxic"] for r in part]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
-    assert any(r["evidence"] for r in found if r["toxic"])
+    assert all(r["evidence"] for r in found)
     model = toxicity.fit(docs, labels, fold_of() != 0)
     assert {"idiot", "moron", "trash"} <= set(model.terms)
     edge = toxicity.score_toxicity(edge_docs, model, carry=("size", "text")).collect()
