@@ -62,25 +62,28 @@ def tile_links(a: Tile, b: Tile, threshold: float, same: bool):
 def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors (vec_id, embedding, label).
 
-    Vectors link when their labels are equal and not null and their cosine is at least threshold (over 0). Vectors that are null, empty,
+    vec_id may be of any type that has an order. Vectors link when their labels are equal and not null and their cosine is at least threshold (over 0). Vectors that are null, empty,
     zero or hold null or non-finite components, rows without label or vec_id, and vectors of unequal length, link with
     nothing: n_links 0, component_id their own id, kept. Repeated rows are vectors of their own. Extra columns are left
     out; an empty table gives none.
     """
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    # Floats travel as floats; tiles compute in double precision.
+    given = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast(given if given == "array<float>" else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
     rows = cut(rows.withColumn("ok", valid), "vectors")
     classes = rows.filter("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = cut(classes.select("label", F.size("v").alias("width"), "v", "rep", "m"), "classes")
+    # Classes are numbered once, where they are written.
+    classes = cut(classes.select("label", F.size("v").alias("width"), "v", "rep", "m", F.monotonically_increasing_id().alias("number")), "classes")
     sizes = classes.groupBy("label", "width").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     sizes = small_side(cut(sizes, "tiles")).select(F.col("label").alias("_label"), F.col("width").alias("_width"), "tiles")
     dealt = classes.join(sizes, (F.col("label") == F.col("_label")) & (F.col("width") == F.col("_width")))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("label", "width", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "rep", "m", "v")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("number"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("label", "width", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "number", "m", "v")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, m, at = np.asarray(group["rep"]), np.asarray(group["m"]), np.asarray(group["tile"])
+        ids, m, at = np.asarray(group["number"]), np.asarray(group["m"]), np.asarray(group["tile"])
         v = group["v"].combine_chunks()
         v = np.asarray(v.flatten()).reshape(len(ids), -1)
         same = group["low"][0].as_py() == group["high"][0].as_py()
@@ -104,8 +107,10 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     found = cut(dealt.groupBy("label", "width", "low", "high").applyInArrow(run, "node long, root long, links long"), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_node")
     groups = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    about = classes.join(counts, F.col("rep") == F.col("_node"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    about = about.select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    about = classes.join(counts, F.col("number") == F.col("_node"), "left").join(groups, F.col("number") == F.col("node"), "left")
+    about = cut(about.select(F.col("label").alias("_label"), F.col("v").alias("_v"), "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "number").alias("component")), "about")
+    first = about.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "_component")
+    about = about.join(first, F.col("component") == F.col("_component"))
     linked = rows.filter("ok").join(about, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

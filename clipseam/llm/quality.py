@@ -1,6 +1,6 @@
 """Quality rules: fixed counts of a text, and a hashed n-gram logistic regression with calibrated probability.
 
-Features are hashed counts of words, word pairs and byte 3- and 4-grams, taken as a unit vector. The regression is fitted on a
+Features are hashed counts of words, word pairs and character 3- and 4-grams, taken as a unit vector. The regression is fitted on a
 bounded sample of the labelled rows (SAMPLE of each label, those of the lowest hashed ids), each label weighing as all
 its rows do; a quarter of the sample is kept apart to calibrate the probability by a logistic curve. Scoring runs in
 Arrow batches; the thresholds are fixed.
@@ -26,18 +26,20 @@ SYMBOLS = b"#*$%&|<>"
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashed counts of words, word pairs and byte 3- and 4-grams, scaled to a unit vector; zero for an empty text."""
+    """Hashed counts of words, word pairs and character 3- and 4-grams, scaled to a unit vector; zero for an empty text."""
     raw = np.frombuffer(text, np.uint8)
     words = word_hashes(raw)[0]
     shift = np.uint64(64 - DIMENSIONS.bit_length() + 1)
     pairs = mix64(words[:-1] * np.uint64(3) + words[1:])
-    wide = raw.astype(np.uint32)
     slots = [(words >> shift).astype(np.int64), (pairs >> shift).astype(np.int64)]
-    if len(raw) >= 4:
-        three = wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16))
-        four = three[:-1] | (wide[3:] << np.uint32(24))
+    wide = raw.astype(np.uint32) if text.isascii() else np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    if len(wide) >= 4:
+        # Grams as polynomials modulo 2**32 in the code points, of which the upper bits are taken.
+        odd = np.uint32(0x9E3779B1)
+        three = (wide[:-2] * odd + wide[1:-1]) * odd + wide[2:]
+        four = three[:-1] * odd + wide[3:]
         small = np.uint32(32 - DIMENSIONS.bit_length() + 1)
-        slots += [((three * np.uint32(0x9E3779B1)) >> small).astype(np.int64), ((four * np.uint32(0x85EBCA6B)) >> small).astype(np.int64)]
+        slots += [((three * np.uint32(0x85EBCA6B)) >> small).astype(np.int64), ((four * np.uint32(0xC2B2AE35)) >> small).astype(np.int64)]
     counts = np.sqrt(np.bincount(np.concatenate(slots), minlength=DIMENSIONS).astype(np.float32))
     norm = np.sqrt((counts * counts).sum())
     return counts / norm if norm else counts
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     if len(totals) < 2:
         return QualityModel()
     sample = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect() for q in (0, 1)]
-    chosen = spark.createDataFrame([(r["doc_id"], r["quality"]) for rows in sample for r in rows], "_id long, quality int")
+    chosen = spark.createDataFrame([(r["doc_id"], r["quality"]) for rows in sample for r in rows], known.select(F.col("doc_id").alias("_id"), "quality").schema)
     picked = docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     picked = picked.select("quality", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"), F.xxhash64("doc_id").alias("order"), "_text")
 
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
 def judge_quality(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) -> DataFrame:
     """A row per row of docs: doc_id, the counts, base_failed, probability (of label 1; null without a model) and kept.
 
-    Null text: empty, so no words, and base_failed. Repeated rows give repeated rows; other columns are left out; an
+    Null text: empty, so no words, and base_failed. A text of any length is counted and scored whole. Repeated rows give repeated rows; other columns are left out; an
     empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers

@@ -2,12 +2,15 @@
 
 Offline, once per job, each vocabulary string is proven or not: it must be one pre-token of the tokenizer's own rule
 and encode alone as exactly its own id. Pre-tokens of a text that are in the proven set count one without any merging;
-only the rest are merged by the library, each distinct one once while a bounded memory holds it.
+only the rest are merged by the library, each distinct one once while a bounded memory holds it. Letter classes differ
+between Unicode versions, so what stands between two spaces and has characters beyond Latin and general punctuation is
+no pre-token here but goes to the library as it is, and is remembered likewise.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,9 +25,12 @@ from .common import held, table
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Fixed value: the pre-token rule of the byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Below U+0250 and in the general punctuation, every library agrees on letters and numbers; texts with other characters are counted by the library itself.
-RARE = r"[^\x00-ɏ -⁯]"
-MEMORY = 400_000
+#: Below U+0250 and in the general punctuation, every library agrees on letters and numbers.
+RARE = "[^\\x00-\\u024f\\u2000-\\u206f]"
+#: No pre-token reaches from what is no space in any library to an ASCII space or line end after it.
+SEAM = "(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])(?=[ \\n])"
+#: Parts held in a process's memory, and the longest that is held.
+MEMORY, LONGEST = 400_000, 60
 
 
 def prove_whole(tokenizer: str) -> set[str]:
@@ -51,26 +57,34 @@ class Counter:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in json.loads(tokenizer)["added_tokens"]) or r"(?!)")
-        self.split, self.rare = regex.compile(PRE_TOKEN).findall, regex.compile(RARE).search
+        self.pre_tokens, self.rare, self.seam = regex.compile(PRE_TOKEN).findall, regex.compile(RARE).search, re.compile(SEAM)
         self.whole = dict.fromkeys(whole, 1)
         self.known = dict(self.whole)
 
+    def split(self, text: str) -> list[str]:
+        """Parts of a text that encode alone as they do in it: pre-tokens, and whole stretches with rare characters."""
+        if not self.rare(text):
+            return self.pre_tokens(text)
+        return [*chain.from_iterable([part] if self.rare(part) else self.pre_tokens(part) for part in self.seam.split(text))]
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; special strings count one each, as the library has it by default."""
         if len(self.known) > MEMORY:
             self.known = dict(self.whole)
         known, parts = self.known, []
         for text in texts:
-            if self.rare(text):
-                parts.append(len(self.library.encode(text, add_special_tokens=False).ids))
-            elif self.special.search(text):
+            if self.special.search(text):
                 pieces = self.special.split(text)
                 parts.append((len(pieces) - 1, [*chain.from_iterable(map(self.split, pieces))]))
             else:
                 parts.append((0, self.split(text)))
-        new = [*{p for x in parts if not isinstance(x, int) for p in x[1] if p not in known}]
+        new = [*{p for x in parts for p in x[1] if p not in known}]
         known.update(zip(new, (len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [x if isinstance(x, int) else x[0] + sum(map(known.__getitem__, x[1])) for x in parts]
+        out = [n + sum(map(known.__getitem__, own)) for n, own in parts]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -66,23 +66,35 @@ def test_mix_reaches_its_targets(spark, share):
 
 
 def test_mix_takes_its_pareto_front(spark):
-    """One source under its cap: the taken documents are the front of the ranking, by a plain sort."""
-    rows = [(i, " ".join(["w"] * (1 + i % 7)), s) for i in range(400) for s in ("a", "b")]
+    """One source under its cap: what is taken is the front of the ranking and then what fits behind it, by a plain sort."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * (1 + rng.choice([i % 7, i % 90]))), s) for i in range(400) for s in ("a", "b")]
     found = [r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.4).collect() if r["source"] == "b"]
-    target = found[0]["target"]
-    p = target / found[0]["source_size"]
+    target, size = found[0]["target"], found[0]["source_size"]
+    f = target / size
+    own = [(i, t, len(t.split())) for i, t, s in rows if s == "b"]
+    mean = sum(n * n / (n + 256) for *_, n in own) / size
 
-    def key(i, text):
+    def key(i, text, n):
         u = (int(hashlib.md5(f"{mixing.SEED}:{i}:{text}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = f + min(f, 1 - f) * (n / (n + 256) - mean)
         return (u / (1 - u)) / (p / (1 - p))
 
-    order = sorted((key(i, t), i, len(t.split())) for i, t, s in rows if s == "b")
-    before, want = 0, set()
-    for _, i, n in order:
-        if before + n / 2 <= target:
-            want.add(i)
-        before += n
+    order, want, gap = sorted((key(*x), x[0], x[2]) for x in own), set(), target
+    for over in (0, 0, 0.5):
+        before = 0
+        for _, i, n in order:
+            if i not in want and n * (1 - over) <= gap:
+                before += n
+                if before - n * over > gap:
+                    before -= n
+                    break
+                want.add(i)
+        gap -= before
     assert {r["doc_id"] for r in found if r["copies"]} == want
+    assert abs(gap) < 0.01 * target
+    p = [f + min(f, 1 - f) * (n / (n + 256) - mean) for *_, n in own]
+    assert min(p) < 0.9 * max(p) and sum(x * n for x, (*_, n) in zip(p, own, strict=True)) == pytest.approx(target)
 
 
 def test_mix_weights_documents(spark):
@@ -243,6 +255,8 @@ def test_quality_is_learned_on_rows_it_did_not_see(spark, small_folder):
     found = quality.judge_quality(docs, quality.fit(docs, train)).join(labels.filter("doc_id % 4 <> 0"), "doc_id").filter("not base_failed").collect()
     assert np.mean([r["kept"] == bool(r["quality"]) for r in found]) > 0.95
     assert quality.fit(docs, labels.filter("quality = 1")).weights is None and quality.fit(docs, labels.limit(0)).weights is None
+    named = quality.fit(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert named.weights is not None
     nulls = labels.select("doc_id", F.lit(None).cast("int").alias("quality"))
     assert quality.fit(docs, nulls).weights is None
 

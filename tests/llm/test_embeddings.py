@@ -59,3 +59,12 @@ def test_bounds_hold_for_wide_and_uneven_vectors():
         pairs = {(int(i), int(j)) for u, v in embeddings.tile_links(a, a, 0.93, True) for i, j in zip(u, v, strict=True)}
         full = a.unit @ a.unit.T
         assert pairs == {(i, j) for i in range(200) for j in range(i + 1, 200) if full[i, j] >= 0.93}
+
+
+def test_ids_may_repeat_or_be_strings(spark):
+    rows = [("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [0.0, 1.0], 1), ("c", [-1.0, 0.0], 1), ("d", [0.0, 1.0], 2)]
+    found = embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int"), tile=1).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found) == [("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True), ("c", 0, "c", True), ("d", 0, "d", True)]
+    same_id = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1)]
+    found = embeddings.near_embeddings(spark.createDataFrame(same_id, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in found) == [(1, 0), (1, 1), (2, 1)]

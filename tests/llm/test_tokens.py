@@ -83,6 +83,16 @@ def test_counts_equal_the_library(edge_docs, edge_rows, no_docs):
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
+def test_counts_of_other_scripts_equal_the_library():
+    rng, t = random.Random(12), library(token_counts.TOKENIZER)
+    spec = bpe.tokenizer_json(token_counts.TOKENIZER)
+    counter = token_counts.Counter(spec, token_counts.prove_whole(spec))
+    parts = ["привет", "мир", "日本語", "the", "don't", " ", "  ", "\n", "\u3000", "\u00a0", "\u180e", "\x1c", "\x85", "é", "12", "٣", "!?", "😀", "<|endoftext|>", "ß", "\u200b", "\ufeff", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert counter.count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert " мир" in counter.known
+
+
 def test_proven_strings_are_single_tokens():
     t = library(token_counts.TOKENIZER)
     whole = token_counts.prove_whole(bpe.tokenizer_json(token_counts.TOKENIZER))
