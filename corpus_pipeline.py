@@ -20,33 +20,57 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score, by nearest labelled examples among docs, is below one half. Null and empty texts have the rate of texts without toxic terms and stay as long as that is below one half."""
+    """The documents whose score, by nearest labelled examples among docs, is below one half.
+
+    Null and empty texts have the base rate of the labelled rows and stay as long as that is below one half. A text of any
+    length is scored whole; repeated rows fare alike; an empty table gives none.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of() != 0)
     return toxicity.score_toxicity(docs, model, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group, the document of the smallest id. Rows without an id stay; rows that repeat an id stay or go together."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.select(*COLUMNS).join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each SimHash group one row: that of the smallest id, or without ids the first.
+
+    Rows are told apart by their place in the table that docs is read from, so that repeated rows, repeated ids and rows
+    without an id lose all but one row of their group too. Null and empty texts are one group. A text of any length has one
+    fingerprint; an empty table gives none.
+    """
+    placed = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    groups = simhash_groups(placed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_member"), "component_id")
+    marked = cut(placed.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_member")).select("_row", "doc_id", "component_id"), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    stays = marked.groupBy("component_id").agg(first).select(F.col("first._row").alias("_first"))
+    gone = cut(marked.join(stays, F.col("_row") == F.col("_first"), "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    return placed.join(small_side(gone), F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each found secret replaced by a mark and n_chars counted anew where the text changed."""
+    """All documents, each found secret replaced by a mark and n_chars counted anew where the text changed.
+
+    Null and empty texts stay as they are; a text of any length is scanned whole; repeated rows stay; an empty table gives none.
+    """
     before = docs.select(*COLUMNS)
     after = redact_secrets(before.withColumn("_was", F.length("text")))
     return after.withColumn("n_chars", F.when(F.length("text") != F.col("_was"), F.length("text").cast(before.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so that sources stand near their target weights."""
+    """Each document as often as the mix takes it, so that sources stand near their target weights.
+
+    Null texts and texts without words have no size and come in the source's whole copies only. A long text is taken
+    whole or not at all; repeated rows tie and are taken one by one; an empty table gives none.
+    """
     mixed = mix_sources(docs, carry=("text", "lang", "n_chars"))
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the number of tokens, digests of ids and decoded text, and the ids, per row."""
+    """doc_id, lang, source, the number of tokens, digests of ids and decoded text, and the ids, per row.
+
+    Null and empty texts have no tokens; the leaves of very long texts are encoded in tasks of their own; repeated rows
+    give repeated rows; an empty table gives none.
+    """
     return encode_documents(docs, carry=("lang", "source"), with_ids=True)
 
 
