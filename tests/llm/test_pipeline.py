@@ -31,3 +31,18 @@ def test_stages_stand_edges(spark, small_folder, edge_docs, no_docs):
         for name, stage in pipeline.STAGES:
             docs = cut(stage(spark, docs, small_folder), "edge")
         assert docs.count() <= 3 * n
+
+
+def test_one_row_of_each_group_stays(spark, edge_docs, tmp_path):
+    import corpus_pipeline
+    from clipseam.llm.simhash import fingerprint
+
+    path = f"file://{tmp_path}/docs"
+    edge_docs.unionByName(edge_docs).write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    prints = [fingerprint((r["text"] or "").encode()) for r in kept]
+    every = {fingerprint((r["text"] or "").encode()) for r in docs.collect()}
+    assert len(prints) == len(set(prints)) and all(any((a ^ b).bit_count() <= 3 for b in prints) for a in every)
+    assert all((a ^ b).bit_count() > 3 for i, a in enumerate(prints) for b in prints[:i])
+    assert sum(not (r["text"] or "").split() for r in kept) == 1
