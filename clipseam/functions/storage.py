@@ -12,9 +12,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a local folder only where it is unset and all tasks run in this one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")

@@ -93,8 +93,15 @@ def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = RESAMPLES, ro
     }
 
 
-def run_development(scored: DataFrame, path: str, mode: str = "proxy", force: bool = False, test: DataFrame | None = None) -> FrozenSpec:
-    """freeze(), written to path; an existing spec is an error unless forced."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def run_development(scored: DataFrame, path: str, mode: str = "proxy", force: bool = False, test: DataFrame | None = None, held_out: str | None = None) -> FrozenSpec:
+    """freeze(), written to path; an existing spec is an error unless forced, and held-out results at held_out always are."""
+    if held_out is not None and exists(scored.sparkSession, held_out):
+        raise ValueError(f"held-out results exist at {held_out}: what was tested is not frozen anew")
     spec = freeze(scored, mode, test)
     scored.sparkSession.createDataFrame([(spec.json(),)], "value string").coalesce(1).write.mode("overwrite" if force else "errorifexists").text(path)
     return spec
@@ -113,9 +120,13 @@ def run_holdout(scored: DataFrame, spec_path: str, path: str, resamples: int = R
     return {name: spark.read.parquet(f"{path}/{name}") for name in found}
 
 
-def diagnostics(scored: DataFrame, spec: FrozenSpec) -> dict[str, DataFrame]:
-    """Means per condition, directional hits and alert rates of diagnostic cases."""
+def diagnostics(scored: DataFrame, spec: FrozenSpec, rows: int | None = None) -> dict[str, DataFrame]:
+    """Means per condition, directional hits and alert rates of diagnostic cases; cases of another horizon than the frozen one, or more or fewer than rows, are an error."""
     verify_spec(spec)
+    if not scored.filter(~F.col("horizon").eqNullSafe(F.lit(spec.horizon))).isEmpty():
+        raise ValueError(f"diagnostic cases must all have the frozen horizon {spec.horizon}")
+    if rows is not None:
+        expected_counts(scored, rows, None)
     flagged = flag_cases(with_risks(scored, spec), spec.threshold, "hybrid_probability")
     return {"means": condition_means(flagged), "hits": directional_hits(flagged), "alerts": alert_rates(flagged)}
 

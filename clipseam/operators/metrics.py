@@ -140,5 +140,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+#: What an interval above zero, below zero or around it is called.
+OUTCOMES = ("predictor_adds_evidence", "cheap_signals_outperform", "inconclusive_at_this_sample_size")
+
+
 def outcome(low: Column, high: Column) -> Column:
-    return F.when(low > 0, "higher").when(high < 0, "lower").otherwise("undecided")
+    return F.when(low > 0, OUTCOMES[0]).when(high < 0, OUTCOMES[1]).otherwise(OUTCOMES[2])

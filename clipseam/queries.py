@@ -506,7 +506,7 @@ def bootstrap_interval(spark, folder):
     return rounded(parts[0].unionByName(parts[1])).drop("outcome")
 
 
-@query(f"WITH {tm.SIGNALS}, {REPLICATES}, q AS ({QUANTILES}) SELECT delta, CASE WHEN low > 0 THEN 'higher' WHEN high < 0 THEN 'lower' ELSE 'undecided' END AS outcome FROM q")
+@query(f"WITH {tm.SIGNALS}, {REPLICATES}, q AS ({QUANTILES}) SELECT delta, CASE WHEN low > 0 THEN 'predictor_adds_evidence' WHEN high < 0 THEN 'cheap_signals_outperform' ELSE 'inconclusive_at_this_sample_size' END AS outcome FROM q")
 def interpret_interval(spark, folder):
     rows = replicates(spark, folder)
     parts = [boot.bootstrap_interval(rows, d) for d in DELTAS]

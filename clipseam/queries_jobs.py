@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries as core
 from .functions.storage import cut, new_folder
 from .jobs import evaluation as ev
 from .operators import sampling, scoring
@@ -15,6 +17,16 @@ from .sources import testmap as tm
 from .streaming.score import score_stream
 
 QUERIES = {}
+#: SQL for those whose files and streams give back rows that SQL can name.
+SQL = {
+    "cases_jsonl": f"SELECT * REPLACE (CAST(source_id AS VARCHAR) AS source_id, CAST(target_source_id AS VARCHAR) AS target_source_id) FROM ({core.SQL['build_cases']})",
+    "metrics_json": core.SQL["summary_metrics"],
+    "read_splits": f"WITH {tm.FRAMES} SELECT DISTINCT split, CAST(source_id AS VARCHAR) AS source_id FROM frames",
+    "read_frames": f"""WITH {tm.FRAMES} SELECT CAST(source_id AS VARCHAR) AS source_id, frame_index, {tm.HEIGHT} AS height, {tm.WIDTH} AS width,
+  CAST(30 + 25 * (source_id % 8) AS DOUBLE) AS red, CAST(CAST(floor(abs(coalesce(value, 0)) * 7) AS BIGINT) % 255 AS DOUBLE) AS green, CAST(36 * 255 AS BIGINT) AS blue FROM frames""",
+    "stream_score": f"""WITH {tm.SIGNALS}, s AS (SELECT case_id, {core.risk_sql(core.RISK)} AS r FROM signals)
+  SELECT case_id, round(r, 9) AS risk, CAST(r >= {core.THRESHOLD} AS INTEGER) AS flagged, CAST(round_even(100 * r, 0) AS INTEGER) AS display_score FROM s""",
+}
 
 
 def query(f):
@@ -22,13 +34,36 @@ def query(f):
     return f
 
 
+@query
+def read_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of each split written as lists of names and read back."""
+    path = new_folder(spark, "splits")
+    files.write_splits(tm.frames(spark, folder), path)
+    return files.read_splits(spark, path)
+
+
+@query
+def read_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """All frames written as PNG files and read back: place, size, the means of red and green, the sum of blue."""
+    path = new_folder(spark, "frames")
+    files.write_frames(tm.images(spark, folder), path)
+
+    def sums(batches):
+        for pdf in batches:
+            planes = [np.frombuffer(x, np.uint8).reshape(-1, 3) for x in pdf.pop("rgb")]
+            yield pdf.assign(red=[x[:, 0].mean() for x in planes], green=[x[:, 1].mean() for x in planes], blue=[int(x[:, 2].sum()) for x in planes])
+
+    found = files.read_frames(spark, path).select("source_id", "frame_index", "height", "width", "rgb")
+    return found.mapInPandas(sums, "source_id string, frame_index int, height int, width int, red double, green double, blue long")
+
+
 @query
 def cases_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """The case table written as JSON lines and read back."""
     path = new_folder(spark, "cases")
     rows = matched_cases(spark, folder).withColumns({c: F.col(c).cast("string") for c in ("source_id", "target_source_id")})
     files.write_cases(rows, path)
-    return files.read_cases(spark, path)
+    return files.read_cases(spark, path).withColumns({c: F.array_join(c, ",") for c in ("context_paths", "target_paths")})
 
 
 @query
@@ -81,6 +116,18 @@ def cheap_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found.select("case_id", "histogram_distance", "ssim_distance", F.transform("flow_magnitudes", lambda x: F.round(x, 6)).alias("flow_magnitudes"), F.array_max("flow_magnitudes").alias("largest_motion"), "flow_discontinuity"))
 
 
+@query
+def ssim_distance(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pixel_cases(spark, folder)
+    return rounded(scoring.ssim_distance(rows, boundary_signatures(spark, folder, rows)))
+
+
+@query
+def flow_magnitude(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pixel_cases(spark, folder)
+    return rounded(scoring.flow_magnitude(rows, boundary_signatures(spark, folder, rows)))
+
+
 @query
 def score_cases(spark: SparkSession, folder: str) -> DataFrame:
     rows = pixel_cases(spark, folder)
@@ -121,7 +168,8 @@ def holdout_job(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def diagnostic_job(spark: SparkSession, folder: str) -> DataFrame:
-    found = ev.diagnostics(tm.signals(spark, folder), frozen(spark, folder))
+    spec = frozen(spark, folder)
+    found = ev.diagnostics(tm.signals(spark, folder).filter(F.col("horizon") == spec.horizon), spec)
     return rounded(long_table(found["means"], "means", "corruption").unionByName(long_table(found["hits"], "hits", "signal")).unionByName(long_table(found["alerts"], "alerts", None)))
 
 

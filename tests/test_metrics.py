@@ -81,8 +81,8 @@ def test_bootstrap_equals_weighted_copies(spark):
 def test_interval_and_outcome(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)] + [(None,)], "d double")
     r = bootstrap.bootstrap_interval(df, "d").first()
-    assert (r["low"], r["median"], r["high"]) == pytest.approx(np.quantile(np.arange(1, 101), [0.025, 0.5, 0.975])) and r["outcome"] == "higher"
-    assert bootstrap.bootstrap_interval(df.selectExpr("-d AS d"), "d").first()["outcome"] == "lower"
+    assert (r["low"], r["median"], r["high"]) == pytest.approx(np.quantile(np.arange(1, 101), [0.025, 0.5, 0.975])) and r["outcome"] == "predictor_adds_evidence"
+    assert bootstrap.bootstrap_interval(df.selectExpr("-d AS d"), "d").first()["outcome"] == "cheap_signals_outperform"
 
 
 def test_summaries_by_hand(spark):

@@ -31,12 +31,12 @@ def rows(pdf):
     return columns, sorted(map(repr, ([float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r] for r in clean.itertuples(index=False, name=None))))
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(queries.SQL | queries_jobs.SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert rows(queries.QUERIES[name](spark, str(FOLDER)).toPandas()) == rows(duck.sql(queries.SQL[name]).df())
+    assert rows((queries.QUERIES | queries_jobs.QUERIES)[name](spark, str(FOLDER)).toPandas()) == rows(duck.sql((queries.SQL | queries_jobs.SQL)[name]).df())
 
 
-@pytest.mark.parametrize("name", ["frame_colour", "stream_score", "verify_spec", "json_fingerprint", "fit_calibrator", "cases_jsonl"])
+@pytest.mark.parametrize("name", ["frame_colour", "verify_spec", "json_fingerprint", "fit_calibrator"])
 def test_other_queries_run(spark, name):
     assert (queries.QUERIES | queries_jobs.QUERIES)[name](spark, str(FOLDER)).count() > 0
 

@@ -157,3 +157,38 @@ def test_stream_equals_batch(spark, tmp_path):
     c = Calibrator(("x", "y"), (2.0, 0.5), (1.0, 2.0), (1.0, -1.0), 0.1)
     score_stream(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), c, 0.5, f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination()
     assert sorted(map(str, spark.read.parquet(f"file://{tmp_path}/out").collect())) == sorted(map(str, with_scores(rows, c, 0.5).collect()))
+
+
+def test_plane_signals_equal_the_pixel_functions(spark):
+    from clipseam.operators import scoring
+
+    rng = np.random.default_rng(3)
+    planes = {f"f{i}": rng.integers(0, 256, (24, 24)).astype(np.uint8) for i in range(6)}
+    signatures = spark.createDataFrame([(k, v.tobytes(), [1.0]) for k, v in planes.items()], scoring.SIGNATURE)
+    cases = spark.createDataFrame([("x", ["f0", "f1", "f2"], ["f3", "f4"]), ("y", ["f1", "f2"], ["f3", "f4", "f5"]), ("none", [], ["f1"])], "case_id string, context_paths array<string>, target_paths array<string>")
+    at = {k: v.astype(float) for k, v in planes.items()}
+    found = {r["case_id"]: r["ssim_distance"] for r in scoring.ssim_distance(cases, signatures).collect()}
+    assert found == {k: pytest.approx(np.mean([1 - px.ssim(at["f1"], at["f3"]), 1 - px.ssim(at["f2"], at["f4"])])) for k in ("x", "y")}
+    found = {(r["case_id"], r["place"]): r["flow_magnitude"] for r in scoring.flow_magnitude(cases, signatures, motion=lambda a, b: float(abs(a - b).sum())).collect()}
+    steps = [("f1", "f2"), ("f2", "f3"), ("f3", "f4")]
+    assert found == {(k, i): float(abs(at[a] - at[b]).sum()) for k in ("x", "y") for i, (a, b) in enumerate(steps)}
+
+
+def test_frames_and_splits_are_written_as_they_are_read(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(s, i, 4, 6, rng.integers(0, 256, (4, 6, 3)).astype(np.uint8).tobytes()) for s in (1, 2) for i in range(12)]
+    root = f"file://{tmp_path}/frames"
+    files.write_frames(spark.createDataFrame(rows, "source_id long, frame_index int, height int, width int, rgb binary"), root)
+    assert {(int(r["source_id"]), r["frame_index"], r["height"], r["width"], bytes(r["rgb"])) for r in files.read_frames(spark, root).collect()} == set(rows)
+    files.write_splits(spark.createDataFrame([("dev", 1), ("dev", 1), ("test", 2)], "split string, source_id long"), f"file://{tmp_path}/lists")
+    assert {(r["split"], r["source_id"]) for r in files.read_splits(spark, f"file://{tmp_path}/lists").collect()} == {("dev", "1"), ("test", "2")}
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    from clipseam.functions import storage
+
+    spark = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        storage.shared_folder(spark)
