@@ -125,7 +125,7 @@ def ssim_distance(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def flow_magnitude(spark: SparkSession, folder: str) -> DataFrame:
     rows = pixel_cases(spark, folder)
-    return rounded(scoring.flow_magnitude(rows, boundary_signatures(spark, folder, rows)))
+    return rounded(scoring.flow_magnitude(rows, boundary_signatures(spark, folder, rows)).drop("ms"))
 
 
 @query
