@@ -56,8 +56,17 @@ def risks(spark: SparkSession, folder: str) -> DataFrame:
 # Fingerprints and manifests
 
 
-@query(f"""WITH {tm.FRAMES} SELECT split, count(*) AS n, sha256(string_agg(name, chr(10) ORDER BY name)) AS names_sha256
-  FROM (SELECT DISTINCT split, CAST(source_id AS VARCHAR) AS name FROM frames) GROUP BY split""")
+def digest_sql(lines: str, key: str, count: str, name: str) -> str:
+    return f"""placed AS (SELECT *, substr(sha256(line), 1, {fingerprint.BUCKET_DIGITS}) AS bucket FROM ({lines})),
+  buckets AS (SELECT {key}, bucket, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM placed GROUP BY 1, 2)
+  SELECT {key}, CAST(sum(n) AS BIGINT) AS {count}, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS {name} FROM buckets GROUP BY 1"""
+
+
+NAME_LINES = "SELECT DISTINCT split, CAST(source_id AS VARCHAR) AS line FROM frames"
+TEXT_LINES = "SELECT source, CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS line FROM documents"
+
+
+@query(f"WITH {tm.FRAMES}, {digest_sql(NAME_LINES, 'split', 'n', 'names_sha256')}")
 def corpus_manifest(spark, folder):
     return fingerprint.corpus_manifest(tm.frames(spark, folder))
 
@@ -74,8 +83,7 @@ def json_fingerprint(spark, folder):
     return fingerprint.json_fingerprint(rows, ["user_id", "event_type", "props"]).select("event_id", "fingerprint")
 
 
-@query("""SELECT source, count(*) AS files, sha256(string_agg(line, chr(10) ORDER BY line)) AS tree_sha256
-  FROM (SELECT source, CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS line FROM documents) GROUP BY source""")
+@query(f"WITH {digest_sql(TEXT_LINES, 'source', 'files', 'tree_sha256')}")
 def tree_fingerprint(spark, folder):
     docs = tm.table(spark, folder, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
     return fingerprint.tree_fingerprint(docs, "source")

@@ -138,6 +138,10 @@ def test_fingerprints(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 1, "x"), ("é", 2, "x")], "name string, n int, content string")
     prints = [r["f"] for r in df.select(fingerprint.row_fingerprint(df, ["name", "n", "content"]).alias("f")).collect()]
     assert len(set(prints)) == 3
+    tricky = spark.createDataFrame([("x',b='y", "z"), ("x", "y',b='z")], "a string, b string")
+    assert len({r["f"] for r in tricky.select(fingerprint.row_fingerprint(tricky, ["a", "b"]).alias("f")).collect()}) == 2
+    whole = [fingerprint.table_fingerprint(x, ["name", "n"]) for x in (df, df.repartition(3), df.filter("n = 2"), df.filter("n > 2"))]
+    assert whole[0] == whole[1] and len(set(whole)) == 3
     same = df.select("content", "n", "name")
     assert [r["f"] for r in same.select(fingerprint.row_fingerprint(same, ["n", "content", "name"]).alias("f")).collect()] == prints
     import hashlib
@@ -151,6 +155,19 @@ def test_fingerprints(spark):
     assert fingerprint.corpus_manifest(spark.createDataFrame([("dev", "a"), ("dev", "b")], "split string, source_id string"), {"dev": 2}).first()["n"] == 2
 
 
+def test_digest_of_many_lines_by_hand(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    names = [f"name-{i}" for i in range(9000)]
+    buckets = {}
+    for n in names:
+        buckets.setdefault(sha(n)[:3], []).append(n)
+    want = sha("\n".join(f"{k}:{sha(chr(10).join(sorted(v)))}" for k, v in sorted(buckets.items())))
+    found = fingerprint.corpus_manifest(spark.createDataFrame([("dev", n) for n in names], "split string, source_id string")).first()
+    assert (found["n"], found["names_sha256"]) == (9000, want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i, float(i) / 10, None if i == 7 else 1.0) for i in range(50)], "case_id long, x double, y double")
     rows.repartition(5).write.parquet(f"file://{tmp_path}/in")
