@@ -1,8 +1,8 @@
 """Ranking and summary metrics of scored cases.
 
-Ranking metrics never order all rows in one task: rows are first counted per distinct score, scores fall into quantile
-buckets, buckets are summed (a few hundred per signal), and running totals are taken inside a bucket and offset by the
-buckets before it.
+Ranking metrics and quantiles never order all rows in one task: rows are first counted per distinct score, the counts
+are written in ranges of scores, ranges are summed, and running totals are taken inside a range and offset by the ranges
+above it.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import RANGE_ROWS, ranged
+from ..functions.storage import cut
 from .signals import NAMES
 
-EDGES = 256
 CORRUPTIONS = ("continuous", "temporal_skip", "block_reorder", "cross_video_splice")
 
 
@@ -33,17 +34,16 @@ def ranked_counts(rows: DataFrame) -> DataFrame:
     return held.groupBy("signal", "score").agg(F.sum("discontinuous").cast("long").alias("positives"), F.count("*").alias("n"))
 
 
-def running_totals(counts: DataFrame, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
+def running_totals(counts: DataFrame, keys: tuple[str, ...] = ("signal",), rows: int = RANGE_ROWS) -> DataFrame:
     """tp and k (positives and rows at or above the score), all_positives and all_n, per distinct score of each key."""
-    edges = counts.groupBy(*keys).agg(F.percentile_approx("score", [i / EDGES for i in range(1, EDGES)], F.lit(10 * EDGES)).alias("_edges"))
-    placed = counts.join(edges, [*keys]).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
+    placed = ranged(counts, *keys, "score", rows=rows)
     by = W.partitionBy(*keys)
-    buckets = placed.groupBy(*keys, "_bucket").agg(F.sum("positives").alias("_p"), F.sum("n").alias("_n"))
-    above = by.orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.select(*keys, "_bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_k"), F.sum("_p").over(by).alias("all_positives"), F.sum("_n").over(by).alias("all_n"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    rows = placed.join(buckets, [*keys, "_bucket"])
-    return rows.withColumns({"tp": F.col("_tp") + F.sum("positives").over(inside), "k": F.col("_k") + F.sum("n").over(inside)}).drop("_bucket", "_tp", "_k")
+    parts = placed.groupBy(*keys, "_range").agg(F.sum("positives").alias("_p"), F.sum("n").alias("_n"))
+    above = by.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    parts = parts.select(*keys, "_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_k"), F.sum("_p").over(by).alias("all_positives"), F.sum("_n").over(by).alias("all_n"))
+    inside = W.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    met = placed.join(parts, [*keys, "_range"])
+    return met.withColumns({"tp": F.col("_tp") + F.sum("positives").over(inside), "k": F.col("_k") + F.sum("n").over(inside)}).drop("_range", "_tp", "_k")
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
@@ -94,14 +94,26 @@ def summary_metrics(rows: DataFrame) -> DataFrame:
         F.avg(F.coalesce("cheap_ms", F.lit(0.0))).alias("mean_cheap_ms"), F.avg(F.coalesce("model_ms", F.lit(0.0))).alias("mean_model_ms"), F.max("peak_vram_mb").alias("peak_vram_mb"))
 
 
+def quantiles(counts: DataFrame, keys: tuple[str, ...], at: tuple[float, ...], rows: int = RANGE_ROWS) -> DataFrame:
+    """keys and q: the linearly interpolated quantiles of counted scores (keys, score, n), taken from running totals; exact."""
+    total = running_totals(counts.withColumn("positives", F.lit(0)), keys, rows)
+    first, last = F.col("all_n") - F.col("k"), F.col("all_n") - F.col("k") + F.col("n") - 1
+    place = lambda q: F.lit(q) * (F.col("all_n") - 1)
+    holds = lambda i: F.max(F.when((first <= i) & (i <= last), F.col("score")))
+    found = total.groupBy(*keys).agg(F.first("all_n").alias("all_n"), *[holds(f(place(q))).alias(f"{side}{j}") for j, q in enumerate(at) for side, f in (("low", F.floor), ("high", F.ceil))])
+    between = [F.col(f"low{j}") + (F.col(f"high{j}") - F.col(f"low{j}")) * (place(q) - F.floor(place(q))) for j, q in enumerate(at)]
+    return found.select(*keys, F.array(*between).alias("q"))
+
+
 def box_stats(rows: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     """signal, corruption, q1, median, q3, low, high: quartiles over counted values; whiskers at the last values within 1.5 of the quartile range."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value")) for n in names]))
-    counts = rows.select("corruption", each.alias("s")).select("corruption", "s.*").filter("value IS NOT NULL").groupBy("signal", "corruption", "value").agg(F.count("*").alias("n"))
-    quart = counts.groupBy("signal", "corruption").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("score")) for n in names]))
+    long = rows.select("corruption", each.alias("s")).select("corruption", "s.*").filter("score IS NOT NULL AND corruption IS NOT NULL")
+    counts = cut(long.groupBy("signal", "corruption", "score").agg(F.count("*").alias("n")), "values")
+    quart = quantiles(counts, ("signal", "corruption"), (0.25, 0.5, 0.75))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    kept = counts.join(quart, ["signal", "corruption"]).filter((F.col("value") >= F.col("q")[0] - reach) & (F.col("value") <= F.col("q")[2] + reach))
-    return kept.groupBy("signal", "corruption").agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min("value").alias("low"), F.max("value").alias("high"))
+    kept = counts.join(quart, ["signal", "corruption"]).filter((F.col("score") >= F.col("q")[0] - reach) & (F.col("score") <= F.col("q")[2] + reach))
+    return kept.groupBy("signal", "corruption").agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 def condition_means(rows: DataFrame, labels: tuple[str, ...] = CORRUPTIONS, names: tuple[str, ...] = NAMES) -> DataFrame:

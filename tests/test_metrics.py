@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from clipseam.functions.ranges import numbered
 from clipseam.operators import bootstrap, calibrate, metrics
 
 SCHEMA = "signal string, score double, discontinuous int"
@@ -95,3 +96,25 @@ def test_summaries_by_hand(spark):
     assert metrics.alert_rates(df.selectExpr("discontinuous", "nullif(flagged, 1) AS flagged")).first()["recall"] is None
     assert {r["corruption"]: r["recall"] for r in metrics.recall_by_corruption(df.withColumnRenamed("v", "risk"), 1.5).collect()} == {"temporal_skip": 1.0, "block_reorder": 0.0}
     assert [r["v"] for r in metrics.condition_means(df, names=("v",)).orderBy("place").collect()] == [1.0, 5.5, 1.0, None]
+
+
+def test_running_totals_and_quantiles_over_many_ranges(spark):
+    rng = np.random.default_rng(21)
+    rows = [(k, float(s), int(rng.integers(0, 2))) for k, n in (("a", 900), ("b", 7), ("c", 1)) for s in rng.integers(-150, 150, n)]
+    counts = metrics.ranked_counts(spark.createDataFrame(rows, "signal string, score double, discontinuous int"))
+    found = metrics.running_totals(counts, rows=40).collect()
+    assert len(found) == counts.count()
+    for r in found:
+        mine = [(s, d) for k, s, d in rows if k == r["signal"]]
+        assert (r["tp"], r["k"]) == (sum(d for s, d in mine if s >= r["score"]), sum(s >= r["score"] for s, d in mine))
+        assert (r["all_positives"], r["all_n"]) == (sum(d for _, d in mine), len(mine))
+    at = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    for r in metrics.quantiles(counts, ("signal",), at, rows=40).collect():
+        assert r["q"] == pytest.approx(np.quantile([s for k, s, _ in rows if k == r["signal"]], at))
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    names = [f"g{i:03d}" for i in np.random.default_rng(3).permutation(100)]
+    found = numbered(spark.createDataFrame([(n,) for n in names], "name string"), "name", rows=9).collect()
+    assert {r["name"]: r["at"] for r in found} == {n: i for i, n in enumerate(sorted(names))}
+    assert numbered(spark.createDataFrame([], "name string"), "name").count() == 0
