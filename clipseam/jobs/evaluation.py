@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 from ..operators.bootstrap import RESAMPLES, bootstrap_interval, paired_bootstrap
 from ..operators.calibrate import CHEAP, HYBRID, Calibrator, apply_calibrator, f1_threshold, fit_calibrator, flag_cases, select_horizon
-from ..operators.cases import expected_counts, split_overlap
+from ..operators.cases import HORIZONS, build_cases, cross_match, expected_counts, split_overlap
+from ..operators.fingerprint import table_fingerprint
 from ..operators.metrics import alert_rates, balanced_accuracy, condition_means, directional_hits, primary_lane, ranking_metrics, recall_by_corruption, summary_metrics
+from ..operators.sampling import boundary_frames
+from ..operators.scoring import Scorer, frame_colour, frame_signature, score_cases
 from ..operators.signals import signal_table
 
 SIGNALS = {"predictor": "prediction_error", "cheap": "cheap_probability", "hybrid": "hybrid_probability"}
@@ -28,6 +31,8 @@ class FrozenSpec:
     hybrid: Calibrator
     threshold: float
     mode: str = "proxy"
+    dev_cases: str = ""
+    test_cases: str = ""
     fingerprint: str = ""
 
     def digest(self) -> str:
@@ -41,15 +46,29 @@ class FrozenSpec:
     def read(text: str) -> FrozenSpec:
         x = json.loads(text)
         turn = lambda c: Calibrator(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()})
-        return FrozenSpec(x["horizon"], turn(x["cheap"]), turn(x["hybrid"]), x["threshold"], x["mode"], x["fingerprint"])
+        return FrozenSpec(x["horizon"], turn(x["cheap"]), turn(x["hybrid"]), x["threshold"], x["mode"], x.get("dev_cases", ""), x.get("test_cases", ""), x["fingerprint"])
 
 
-def verify_spec(spec: FrozenSpec, mode: str | None = None) -> None:
-    """An altered spec, or one of another mode, is an error."""
+#: What makes a case, whatever its scores; of these, a table's own columns are digested.
+CASE_COLUMNS = ("case_id", "source_id", "split", "discontinuous", "corruption", "lane", "horizon", "context_paths", "target_paths", "target_source_id")
+
+
+def case_digest(cases: DataFrame) -> str:
+    """One digest of a case table's rows, in any order."""
+    kinds = dict(cases.dtypes)
+    own = [c for c in CASE_COLUMNS if c in kinds]
+    return table_fingerprint(cases.select(*[F.to_json(c).alias(c) if kinds[c].startswith("array") else F.col(c) for c in own]), own)
+
+
+def verify_spec(spec: FrozenSpec, mode: str | None = None, dev: DataFrame | None = None, test: DataFrame | None = None) -> None:
+    """An altered spec, one of another mode, or one frozen with other case tables than those given is an error."""
     if spec.digest() != spec.fingerprint:
         raise ValueError("the frozen spec was altered")
     if mode is not None and spec.mode != mode:
         raise ValueError(f"the spec was frozen in mode {spec.mode}, not {mode}")
+    for name, cases, frozen in (("development", dev, spec.dev_cases), ("held-out", test, spec.test_cases)):
+        if cases is not None and case_digest(cases) != frozen:
+            raise ValueError(f"the {name} cases are not those that the spec was frozen with")
 
 
 def with_risks(rows: DataFrame, spec: FrozenSpec) -> DataFrame:
@@ -59,8 +78,8 @@ def with_risks(rows: DataFrame, spec: FrozenSpec) -> DataFrame:
 def freeze(scored: DataFrame, mode: str = "proxy", test: DataFrame | None = None) -> FrozenSpec:
     """Horizon, both calibrators and the threshold from scored development cases (one table with a horizon column).
 
-    test: the held-out cases, whose sources must not be among the development ones. Only coefficients, the horizon and
-    the threshold reach the driver.
+    test: the held-out cases, whose sources must not be among the development ones. The spec keeps a digest of either case
+    table. Only coefficients, the horizon, the threshold and digests reach the driver.
     """
     if test is not None:
         split_overlap(scored.select("source_id", F.lit("dev").alias("split")).unionByName(test.select("source_id", F.lit("test").alias("split"))), strict=True)
@@ -68,13 +87,17 @@ def freeze(scored: DataFrame, mode: str = "proxy", test: DataFrame | None = None
     rows = cut(scored.filter(F.col("horizon") == horizon), "development")
     cheap, hybrid = fit_calibrator(rows, CHEAP), fit_calibrator(rows, HYBRID)
     risks = apply_calibrator(primary_lane(rows), hybrid, "hybrid_probability")
-    spec = FrozenSpec(horizon, cheap, hybrid, f1_threshold(risks, "hybrid_probability").first()["threshold"], mode)
-    return FrozenSpec(spec.horizon, spec.cheap, spec.hybrid, spec.threshold, mode, spec.digest())
+    digests = case_digest(scored), case_digest(test) if test is not None else ""
+    spec = FrozenSpec(horizon, cheap, hybrid, f1_threshold(risks, "hybrid_probability").first()["threshold"], mode, *digests)
+    return replace(spec, fingerprint=spec.digest())
 
 
 def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = RESAMPLES, rows: int | None = None, groups: int | None = None) -> dict[str, DataFrame]:
-    """Tables of held-out cases under a verified spec: predictions, summary, ranking, accuracy, recall, replicates, intervals."""
-    verify_spec(spec)
+    """Tables of held-out cases under a verified spec: predictions, summary, ranking, accuracy, recall, replicates, intervals.
+
+    A spec frozen with held-out cases takes these only.
+    """
+    verify_spec(spec, test=scored if spec.test_cases else None)
     chosen = scored.filter(F.col("horizon") == spec.horizon)
     if rows is not None or groups is not None:
         expected_counts(chosen, rows, groups)
@@ -93,6 +116,34 @@ def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = RESAMPLES, ro
     }
 
 
+def score_frames(images: DataFrame, horizons: tuple[int, ...] = HORIZONS, count: int = 3, scorer: Scorer | None = None, motion_side: int | None = None) -> DataFrame:
+    """Scored cases of every horizon from decoded frames (source_id, split, frame_index, frame_path, height, width, rgb), each split by itself.
+
+    Cases are built per horizon with cross matches inside the split; a frame near any of their boundaries is reduced once.
+    Sources too short for a horizon have no case there.
+    """
+    matches = cut(cross_match(frame_colour(images)), "matches")
+    frames = images.select("source_id", "split", "frame_index", "frame_path")
+    cases = build_cases(frames, horizons[0], count, matches)
+    for h in horizons[1:]:
+        cases = cases.unionByName(build_cases(frames, h, count, matches))
+    cases = cut(cases, "cases")
+    near = boundary_frames(cases).select("frame_path").distinct()
+    signatures = cut(frame_signature(images.join(near, "frame_path", "left_semi")), "signatures")
+    return cut(score_cases(cases, signatures, scorer, motion_side), "scored")
+
+
+def develop_frames(images: DataFrame, path: str, mode: str = "proxy", force: bool = False, held_out: str | None = None, **scoring) -> FrozenSpec:
+    """run_development() from decoded frames of the splits dev and test: cases are built and scored per horizon; the test split is isolated and digested, not learned from."""
+    scored = score_frames(images, **scoring)
+    return run_development(scored.filter("split = 'dev'"), path, mode, force, scored.filter("split = 'test'"), held_out)
+
+
+def hold_out_frames(images: DataFrame, spec_path: str, path: str, resamples: int = RESAMPLES, **scoring) -> dict[str, DataFrame]:
+    """run_holdout() from decoded frames of the test split, with the scoring that development had."""
+    return run_holdout(score_frames(images.filter("split = 'test'"), **scoring), spec_path, path, resamples)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

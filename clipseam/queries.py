@@ -91,6 +91,17 @@ def tree_fingerprint(spark, folder):
 
 # Case construction
 
+CASE_KEYS = ("case_id", "corruption", "discontinuous", "horizon", "lane", "source_id", "split")
+CASE_LINES = "SELECT split, sha256(" + " || ',' || ".join(f"'{c}=''' || replace(CAST({c} AS VARCHAR), '''', '''''') || ''''" for c in CASE_KEYS) + ") AS line FROM signals"
+
+
+@query(f"WITH {tm.SIGNALS}, {digest_sql(CASE_LINES, 'split', 'n', 'cases_sha256')}")
+def case_fingerprint(spark, folder):
+    """One digest of each split's case table, as a frozen spec keeps it."""
+    rows = tm.signals(spark, folder)
+    return fingerprint.digest_lines(rows.select("split", fingerprint.row_fingerprint(rows, [*CASE_KEYS]).alias("line")), ("split",), "n", "cases_sha256")
+
+
 
 @query(f"WITH {tm.FRAMES} SELECT source_id, frame_id, frame_index, count(*) OVER (PARTITION BY source_id) AS n FROM frames")
 def frame_index(spark, folder):

@@ -175,12 +175,13 @@ def diagnostic_job(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def verify_spec(spark: SparkSession, folder: str) -> DataFrame:
-    """A frozen spec written, read and verified."""
+    """A frozen spec written, read and verified with both case tables."""
     path = new_folder(spark, "spec")
-    ev.run_development(development_rows(spark, folder), path)
+    dev, test = development_rows(spark, folder), tm.signals(spark, folder).filter("split = 'test'")
+    ev.run_development(dev, path, test=test)
     spec = ev.read_spec(spark, path)
-    ev.verify_spec(spec, "proxy")
-    return spark.createDataFrame([(spec.fingerprint, spec.digest() == spec.fingerprint)], "fingerprint string, verified boolean")
+    ev.verify_spec(spec, "proxy", dev, test)
+    return spark.createDataFrame([(spec.fingerprint, spec.dev_cases, spec.test_cases, spec.digest() == spec.fingerprint)], "fingerprint string, dev_cases string, test_cases string, verified boolean")
 
 
 @query

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clipseam.jobs import evaluation as ev
 from clipseam.operators import calibrate, metrics
@@ -92,6 +93,11 @@ def test_freeze_then_hold_out(spark, tmp_path):
         ev.verify_spec(ev.FrozenSpec(spec.horizon, spec.cheap, spec.hybrid, spec.threshold + 0.1, spec.mode, spec.fingerprint))
     with pytest.raises(ValueError):
         ev.freeze(scored(spark, "dev"), test=scored(spark, "dev"))
+    ev.verify_spec(spec, "proxy", scored(spark, "dev").repartition(3), scored(spark, "test"))
+    with pytest.raises(ValueError, match="development cases"):
+        ev.verify_spec(spec, dev=scored(spark, "dev").filter("case_id <> 'dev-0-0'"))
+    with pytest.raises(ValueError, match="held-out cases"):
+        ev.evaluate(scored(spark, "test").withColumn("lane", F.lit("secondary")), spec)
     review = ev.review(scored(spark, "test"), None)
     assert review.count() == 240 * 5 and review.filter("display_score IS NOT NULL").count() == 0
 
@@ -107,3 +113,27 @@ def test_gates_of_the_jobs(spark, tmp_path):
     own.write.parquet(f"file://{tmp_path}/held-out")
     with pytest.raises(ValueError, match="held-out"):
         ev.run_development(scored(spark, "dev"), f"file://{tmp_path}/spec", held_out=f"file://{tmp_path}/held-out")
+
+
+def test_jobs_from_frames(spark, tmp_path):
+    rows = []
+    for number, (source, split) in enumerate([("dev-a", "dev"), ("dev-b", "dev"), ("dev-c", "dev"), ("test-a", "test"), ("test-b", "test")]):
+        for i in range(40):
+            x = np.zeros((24, 32, 3), np.uint8)
+            x[..., 0], x[..., 1] = 30 + 25 * number, 5 * i % 255
+            at = min(30, 2 + i // 2)
+            x[8:14, max(0, at - 2) : at, 2] = 255
+            rows.append((source, split, i, f"{source}/{i:05d}", 24, 32, bytearray(x.tobytes())))
+    images = spark.createDataFrame(rows, "source_id string, split string, frame_index int, frame_path string, height int, width int, rgb binary")
+    path, out = f"file://{tmp_path}/spec", f"file://{tmp_path}/held-out"
+    spec = ev.develop_frames(images, path, held_out=out, motion_side=16)
+    ev.verify_spec(ev.read_spec(spark, path), "proxy")
+    found = ev.hold_out_frames(images, path, out, resamples=20, motion_side=16)
+    predictions = found["predictions"].collect()
+    assert len(predictions) == 24 and {r["horizon"] for r in predictions} == {spec.horizon}
+    assert all(0 <= r["hybrid_probability"] <= 1 for r in predictions)
+    assert found["summary"].first()["rows"] == 18 and found["replicates"].count() == 20
+    with pytest.raises(ValueError, match="held-out"):
+        ev.develop_frames(images, path, force=True, held_out=out, motion_side=16)
+    with pytest.raises(ValueError, match="held-out cases"):
+        ev.hold_out_frames(images.filter("source_id <> 'test-b'"), path, f"{out}-2", motion_side=16)
