@@ -6,6 +6,9 @@ which is the key of the search, and from there the differences of two, three and
 budgets; only what passes is a link. Copies fall together first: the search is over distinct fingerprints. A key that
 many fingerprints share is dealt as pairs of tiles of bounded size, each to a task of its own, and a tile gives back a
 spanning forest of its links, never the pairs.
+
+Up to 7 bits, the first segment of some chain differs in one bit at most; then a key is a segment without one of its
+bits, for each of the 16. Links between 4 and 7 bits also need a second, wide fingerprint of five-word shingles to agree.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, small_side, table, text_bytes
@@ -23,6 +26,12 @@ from .components import components, forest
 
 SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
 TILE = 2048
+#: Near copies, where a caller asks for them: at most so many bits, of which those beyond BITS need WIDE_BITS of WIDE_WORDS * 64 at most to differ in the wide fingerprint.
+#: Five-word shingle sets of one size and similarity 0.8 have the cosine 8 / 9, at which acos(8 / 9) / pi * 256 = 38.8 bits are expected to differ.
+NEAR_BITS, WIDE_BITS, WIDE_SHINGLE, WIDE_WORDS = 7, 38, 5, 4
+WIDE = tuple(f"w{i}" for i in range(WIDE_WORDS))
+#: Keys of a segment: without one of its 16 bits, or whole.
+FORMS = 17
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -43,16 +52,31 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) per row of docs; texts without words (null too) have zero."""
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Four words of 64 bits, each bit set if it is in over half of the shingles' 256-bit hashes; without words all zero."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(WIDE_WORDS, np.int64)
+    digest, ones, n = xxhash.xxh3_128_digest, np.zeros(64 * WIDE_WORDS, np.int64), max(1, len(words) - shingle + 1)
+    for at in range(0, n, 1 << 14):
+        joined = [b" ".join(words[i : i + shingle]) for i in range(at, min(n, at + (1 << 14)))]
+        raw = np.frombuffer(b"".join([digest(x, SEED) + digest(x, SEED + 1) for x in joined]), np.uint8)
+        ones += np.unpackbits(raw.reshape(len(joined), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, near: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) per row of docs, near: and the wide fingerprint; texts without words (null too) have zero."""
     chosen = docs.select("doc_id", text_bytes().alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            wide = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, WIDE_WORDS).T if near else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *map(pa.array, wide)], names=["doc_id", "fp", *(WIDE if near else ())])
 
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long")
+    more = "".join(f", {w} long" for w in WIDE) if near else ""
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long{more}")
 
 
 def linked(key: np.ndarray, ring: np.ndarray, tile: np.ndarray, split: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +96,43 @@ def linked(key: np.ndarray, ring: np.ndarray, tile: np.ndarray, split: np.ndarra
     return np.concatenate(left or [at]), np.concatenate(right or [at])
 
 
+def segment_keys(bits: int) -> Column:
+    """An array of i, the segment and the form of its key (i = segment * FORMS + form), and seg, the key: two fingerprints whose segments differ in at most bits // SEGMENTS bits share a key."""
+    forms = range(FORMS - 1) if bits >= SEGMENTS else [FORMS - 1]
+    whole = lambda i: F.shiftright(F.shiftleft("fp", 16 * i), 48).bitwiseAND(0xFFFF)
+    return F.array(*[F.struct(F.lit(i * FORMS + m).alias("i"), whole(i).bitwiseAND(0xFFFF & ~(1 << m)).cast("int").alias("seg")) for i in range(SEGMENTS) for m in forms])
+
+
 def link_fingerprints(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
-    """distinct: fp, each once. Edges a, b (long): a spanning forest, tile by tile, of all pairs with at most ``bits`` (below 4) differing bits."""
-    if not 0 <= bits < SEGMENTS:
-        raise ValueError("a whole segment must agree: bits must be under the number of segments")
-    turned = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(F.shiftleft("fp", 16 * i), 48).bitwiseAND(0xFFFF).cast("int").alias("seg")) for i in range(SEGMENTS)]))
-    parts = distinct.select("fp", turned.alias("k")).select("fp", "k.i", "k.seg")
+    """distinct: fp, each once. Edges a, b (long): a spanning forest, tile by tile, of all pairs with at most ``bits`` (below 8) differing bits.
+
+    With the wide fingerprint in distinct (then each fp with each of its wide ones), pairs of more than BITS bits must also differ in WIDE_BITS bits of it at most.
+    """
+    if not 0 <= bits < 2 * SEGMENTS:
+        raise ValueError("one bit of a segment may differ: bits must be under twice the number of segments")
+    wide = [w for w in WIDE if w in distinct.columns]
+    parts = distinct.select("fp", *wide, F.explode(segment_keys(bits)).alias("k")).select("fp", *wide, "k.i", "k.seg")
     crowded = parts.groupBy("i", "seg").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select(F.col("i").alias("_i"), F.col("seg").alias("_seg"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     crowded = small_side(cut(crowded, "crowded"))
     dealt = parts.join(crowded, (F.col("i") == F.col("_i")) & (F.col("seg") == F.col("_seg")), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("i", "seg", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "fp")
+    dealt = dealt.select("i", "seg", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "fp", *wide)
     dealt = dealt.repartition("i", "seg", "low", "high").sortWithinPartitions("i", "seg", "low", "high", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-            i, seg, low, high, tile_, fp = rows
+            i, seg, low, high, tile_, fp, *more = rows
             new = np.zeros(len(i), bool)
             for x in (i, seg, low, high):
                 new[1:] |= x[1:] != x[:-1]
             bits_ = fp.view(np.uint64)
-            shift = (16 * i).astype(np.uint64)
+            shift = (16 * (i // FORMS)).astype(np.uint64)
             ring = np.where(i > 0, (bits_ << shift) | (bits_ >> ((np.uint64(64) - shift) % np.uint64(64))), bits_)
             a, b = linked(np.cumsum(new), ring, tile_, low != high, bits)
+            if more:
+                apart = sum(np.bitwise_count(w.view(np.uint64)[a] ^ w.view(np.uint64)[b]).astype(np.int64) for w in more)
+                near = (np.bitwise_count(bits_[a] ^ bits_[b]) <= BITS) | (apart <= WIDE_BITS)
+                a, b = a[near], b[near]
             node, root = forest(fp[a], fp[b])
             move = node != root
             return pa.RecordBatch.from_arrays([pa.array(root[move]), pa.array(node[move])], names=["a", "b"])
@@ -115,15 +153,17 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, near: bool = False) -> DataFrame:
     """doc_id, fp, component_id per row of docs: fingerprints link at ``bits`` or fewer differing bits; component_id is the smallest doc_id reachable.
 
+    near: also at NEAR_BITS or fewer, if the wide fingerprints of five-word shingles differ in WIDE_BITS or fewer.
     Null and empty texts share the fingerprint zero and link like any other; null doc_ids stay out of the minimum;
     repeated rows fall together; other columns are left out; an empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs, shingle), "fingerprints")
+    marked = cut(fingerprints(docs, shingle, near), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(link_fingerprints(distinct.select("fp"), bits))
+    searched = marked.select("fp", *WIDE).distinct() if near else distinct.select("fp")
+    found = components(link_fingerprints(searched, NEAR_BITS if near else bits))
     grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     grouped = cut(grouped, "groups")
     first = grouped.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_component")

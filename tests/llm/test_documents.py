@@ -151,23 +151,58 @@ def test_simhash_groups_equal_brute_force(edge_docs, edge_rows, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_links_of_crowded_keys(spark, tile):
+@pytest.mark.parametrize(("tile", "bits"), [(4, 3), (2048, 3), (16, 7), (2048, 7), (64, 5)])
+def test_links_of_crowded_keys(spark, tile, bits):
     """Random prints around a few centres: many share segments, so keys are split to tiles."""
     rng = random.Random(tile)
     centres = [rng.getrandbits(64) for _ in range(4)] + [0, 2**64 - 1]
-    prints = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(60)})
+    prints = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 1 + bits))) for c in centres for _ in range(60)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long"), tile=tile)
+    edges = simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long"), bits, tile)
     assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= 64 for r in edges.collect())
     got = {r["node"]: r["component"] for r in components(edges).collect()}
-    root = plain_groups(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    root = plain_groups(prints, lambda a, b: (a ^ b).bit_count() <= bits)
     members: dict = {}
     for s, g in zip(signed, root, strict=True):
         members.setdefault(g, []).append(s)
     assert {s: got.get(s, s) for s in signed} == {s: min(m) for m in members.values() for s in m}
 
 
+def edited(rng, base, part):
+    return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < part else w for w in base.split())
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Edited copies of a few texts, and texts that only share a passage, by both fingerprints against all pairs."""
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    bases, passage = [text(n) for n in (40, 120, 400)], text(60)
+    texts = [edited(rng, b, part) for b in bases for part in (0.002, 0.01, 0.02, 0.05) for _ in range(8)] + [f"{text(40)} {passage}" for _ in range(12)] + ["", None, "one", "one two"]
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    wide = [int.from_bytes(simhash.wide_fingerprint((t or "").encode()).tobytes(), "big") for t in texts]
+    place = list(range(len(texts)))
+    root = plain_groups(place, lambda a, b: (d := (prints[a] ^ prints[b]).bit_count()) <= 3 or d <= 7 and (wide[a] ^ wide[b]).bit_count() <= 38)
+    least = {}
+    for i, g in enumerate(root):
+        least[g] = min(i, least.get(g, i))
+    found = simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), near=True).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: least[g] for i, g in enumerate(root)}
+    strict = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(strict.values())) > len(set(least.values()))
+    assert len({least[root[i]] for i in range(96, 108)}) == 12  # a shared passage alone links nothing
+
+
+def test_wide_fingerprint_by_hand():
+    import xxhash
+
+    words = "A b c d e f g".split()
+    hashes = [xxhash.xxh3_128_digest(x, 42) + xxhash.xxh3_128_digest(x, 43) for x in (" ".join(words[i : i + 5]).lower().encode() for i in range(3))]
+    bits = ["".join(f"{b:08b}" for b in h) for h in hashes]
+    want = "".join("1" if sum(b[i] == "1" for b in bits) >= 2 else "0" for i in range(256))
+    assert "".join(f"{b:08b}" for b in simhash.wide_fingerprint(" ".join(words).encode()).tobytes()) == want
+    assert not simhash.wide_fingerprint(b" ").any()
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(8)
     nodes = rng.sample(range(10**6), 300)
