@@ -32,12 +32,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group one row: that of the smallest id, or without ids the first.
 
+    Groups are linked by near copies: 3 bits, or up to 7 where five-word shingles have a similarity of about 0.8 or more.
     Rows are told apart by their place in the table that docs is read from, so that repeated rows, repeated ids and rows
     without an id lose all but one row of their group too. Null and empty texts are one group. A text of any length has one
     fingerprint; an empty table gives none.
     """
     placed = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
-    groups = simhash_groups(placed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_member"), "component_id")
+    groups = simhash_groups(placed.select(F.col("_row").alias("doc_id"), "text"), near=True).select(F.col("doc_id").alias("_member"), "component_id")
     marked = cut(placed.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_member")).select("_row", "doc_id", "component_id"), "marked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
     stays = marked.groupBy("component_id").agg(first).select(F.col("first._row").alias("_first"))
