@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, small_side, table, text_bytes
+from .common import LOWER, cut, held, small_side, table, text_bytes
 from .components import components, forest
 
 SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, near: bool = False) ->
     chosen = docs.select("doc_id", text_bytes().alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", dict)  # lets go of another operator's memory
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             wide = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, WIDE_WORDS).T if near else []
@@ -137,18 +138,18 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -
             move = node != root
             return pa.RecordBatch.from_arrays([pa.array(root[move]), pa.array(node[move])], names=["a", "b"])
 
-        held: list[np.ndarray] | None = None
+        rest: list[np.ndarray] | None = None
         for batch in batches:
             rows = [np.asarray(c) for c in batch.columns]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             # The last key may go on in the next batch.
             last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in rows[:4]])) if len(rows[0]) else []
             end = int(last[-1]) + 1 if len(last) else 0
-            held = [x[end:] for x in rows]
+            rest = [x[end:] for x in rows]
             if end:
                 yield edges([x[:end] for x in rows])
-        if held is not None and len(held[0]):
-            yield edges(held)
+        if rest is not None and len(rest[0]):
+            yield edges(rest)
 
     return dealt.mapInArrow(run, "a long, b long")
 
