@@ -7,6 +7,7 @@ from .embeddings import OP3_SQL, op3_embedding_near_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .ppm import op4_ppm_scores
 from .quality import op10_quality
+from .runs import op11_periodic_runs
 from .secrets import op7_secret_scan
 from .simhash import op9_simhash
 from .suffix_dedup import op6_suffix_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL}
