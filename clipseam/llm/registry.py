@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe_codec
 from .embeddings import OP3_SQL, op3_embedding_near_dedup
+from .licenses import OP13_SQL, op13_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .ppm import op4_ppm_scores
 from .quality import op10_quality
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op13_license_scan": OP13_SQL}
