@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe_codec
 from .embeddings import OP3_SQL, op3_embedding_near_dedup
+from .importance import OP12_SQL, op12_importance_resampling
 from .licenses import OP13_SQL, op13_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .ppm import op4_ppm_scores
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_license_scan": op13_license_scan,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op13_license_scan": OP13_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op12_importance_resampling": OP12_SQL, "op13_license_scan": OP13_SQL}
