@@ -12,11 +12,15 @@ from .storage import cut
 RANGE_ROWS = 200_000
 
 
-def ranged(df: DataFrame, *order: str | Column, rows: int = RANGE_ROWS) -> DataFrame:
-    """df written in ranges of ``order`` of about ``rows`` rows, with the range in _range; as many ranges as the counted rows ask for."""
-    held = cut(df, "rows")
-    ranges = max(1, -(-held.count() // rows))
-    return cut(held.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+def ranged(df: DataFrame, *order: str | Column, rows: int = RANGE_ROWS, count: int | None = None) -> DataFrame:
+    """df written in ranges of ``order`` of about ``rows`` rows, with the range in _range; as many ranges as the counted rows ask for.
+
+    count: the rows of df, where it is a written table already; else it is written first to be counted.
+    """
+    if count is None:
+        df = cut(df, "rows")
+        count = df.count()
+    return cut(df.repartitionByRange(max(1, -(-count // rows)), *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def numbered(df: DataFrame, column: str, name: str = "at", rows: int = RANGE_ROWS) -> DataFrame:

@@ -93,8 +93,8 @@ def frame_colour(spark: SparkSession, folder: str) -> DataFrame:
 
 def boundary_signatures(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     """Each frame near a boundary, reduced once; the others' pixels are never read further."""
-    needed = sampling.boundary_frames(rows).select("frame_path").distinct()
-    return cut(scoring.frame_signature(tm.images(spark, folder).join(needed, "frame_path", "left_semi")), "signatures")
+    needed = cut(sampling.boundary_frames(rows).select("frame_path").distinct(), "needed")
+    return cut(scoring.frame_signature(tm.images(spark, folder, needed)), "signatures")
 
 
 def pixel_cases(spark: SparkSession, folder: str) -> DataFrame:

@@ -119,12 +119,19 @@ LATENTS = """latents AS (SELECT * FROM (SELECT CAST(label AS BIGINT) AS case_id,
 HEIGHT, WIDTH = 24, 32
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """source_id, split, frame_index, frame_path, height, width, rgb: each event as a small raster.
+#: Frames that a task draws.
+DRAWN = 256
+
+
+def images(spark: SparkSession, folder: str, needed: DataFrame | None = None) -> DataFrame:
+    """source_id, split, frame_index, frame_path, height, width, rgb: each event as a small raster; needed: the frame_path of those to draw, else all.
 
     The source gives red, the event's value green, and a blue block moves with the frame index.
     """
     rows = frames(spark, folder).select("source_id", "split", "frame_index", "frame_path", F.coalesce("value", F.lit(0.0)).alias("value"))
+    if needed is not None:
+        rows = rows.join(needed, "frame_path", "left_semi").select(*rows.columns)
+    rows = rows.repartition(max(1, -(-rows.count() // DRAWN)), "frame_path")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
