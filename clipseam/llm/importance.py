@@ -86,10 +86,10 @@ def bucket_gains(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets
     """bucket, gain: 1,000 times the log of how much likelier the bucket is in the target than in docs, with one added to each count; a row per bucket."""
     count = lambda df, name: bucket_counts(df, grams, buckets).withColumnRenamed("n", name)
     both = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(count(docs, "s"), "bucket", "left").join(count(target, "t"), "bucket", "left").fillna(0, ["s", "t"])
-    all_ = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
-    d = lambda c: F.col(c).cast("double")
-    ratio = (d("t") + 1) * (d("all_s") + buckets) / ((d("s") + 1) * (d("all_t") + buckets))
-    return both.join(F.broadcast(all_)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
+    both = cut(both, "buckets")
+    all_s, all_t = both.agg(F.sum("s"), F.sum("t")).first()
+    ratio = (F.col("t").cast("double") + 1) * (all_s + buckets) / ((F.col("s").cast("double") + 1) * (all_t + buckets))
+    return both.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
 def document_weights(docs: DataFrame, gains: DataFrame, grams: int = GRAMS, buckets: int = BUCKETS) -> DataFrame:
