@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from ..operators.bootstrap import RESAMPLES, bootstrap_interval, paired_bootstrap
+from ..operators.bootstrap import RESAMPLES, bootstrap_interval, grouped_bootstrap
 from ..operators.calibrate import CHEAP, HYBRID, Calibrator, apply_calibrator, f1_threshold, fit_calibrator, flag_cases, select_horizon
 from ..operators.cases import HORIZONS, build_cases, cross_match, expected_counts, split_overlap
 from ..operators.fingerprint import table_fingerprint
@@ -103,7 +103,7 @@ def evaluate(scored: DataFrame, spec: FrozenSpec, resamples: int = RESAMPLES, ro
         expected_counts(chosen, rows, groups)
     predictions = cut(with_risks(chosen, spec), "held-out")
     primary = primary_lane(predictions)
-    replicates = cut(paired_bootstrap(primary, SIGNALS, resamples), "replicates")
+    replicates = cut(grouped_bootstrap(primary, SIGNALS, resamples), "replicates")
     deltas = [bootstrap_interval(replicates, c) for c in replicates.columns if c.startswith("delta_")]
     return {
         "predictions": predictions,

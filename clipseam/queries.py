@@ -500,14 +500,7 @@ DELTAS = ("delta_predictor_minus_cheap", "delta_hybrid_minus_cheap")
 
 
 def replicates(spark: SparkSession, folder: str) -> DataFrame:
-    return boot.paired_bootstrap(metrics.primary_lane(tm.signals(spark, folder)), BOOT_NAMES, RESAMPLES)
-
-
-@query(f"WITH {tm.SIGNALS}, {REPLICATES} SELECT replicate, {', '.join(f'round({c}, 6) AS {c}' for c in ('predictor_auprc', 'cheap_auprc', 'hybrid_auprc', *DELTAS))} FROM reps")
-def joined_bootstrap(spark, folder):
-    """The same replicates by the join of draws and counts, as for very many groups."""
-    return rounded(boot.grouped_bootstrap(metrics.primary_lane(tm.signals(spark, folder)), draws(spark, folder), BOOT_NAMES))
-
+    return boot.grouped_bootstrap(metrics.primary_lane(tm.signals(spark, folder)), BOOT_NAMES, RESAMPLES)
 
 
 @query(f"WITH {tm.SIGNALS}, {REPLICATES} SELECT replicate, {', '.join(f'round({c}, 6) AS {c}' for c in ('predictor_auprc', 'cheap_auprc', 'hybrid_auprc', *DELTAS))} FROM reps")
