@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .nearest import cross_match
+
+__all__ = ["cross_match"]
+
 TOTAL = 16
 HORIZONS = (2, 4, 8)
 
@@ -67,37 +71,6 @@ def target_index(kind: str, horizon: int, other_n: Column | None = None) -> Colu
     return F.sequence(start.cast("int"), (start + horizon - 1).cast("int"))
 
 
-def cross_match(colours: DataFrame, block: int = 4096) -> DataFrame:
-    """source_id, target_source_id, distance: the nearest other source of the split by colour (equal-length vectors), ties to the smaller id.
-
-    Blocks of a split's rows meet in tasks of bounded size, and each gives back one nearest per row, never the pairs.
-    """
-    import numpy as np
-    import pandas as pd
-
-    sizes = colours.groupBy("split").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = colours.select("split", "source_id", "colour").join(sizes, "split").withColumn("b", F.pmod(F.xxhash64("source_id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.select("split", F.col("b").alias("x"), F.col("other").alias("y"), "source_id", "colour")
-    right = dealt.select(F.col("split").alias("split2"), F.col("other").alias("x2"), F.col("b").alias("y2"), F.col("source_id").alias("id2"), F.col("colour").alias("colour2"))
-    kind = colours.schema["source_id"].dataType.simpleString()
-
-    def nearest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        q = q.sort_values("id2")
-        out = []
-        if len(p) and len(q):
-            v, ids = np.stack(q["colour2"].to_numpy()), q["id2"].to_numpy()
-            for s, c in zip(p["source_id"], p["colour"], strict=True):
-                d = np.sqrt(((v - np.asarray(c)) ** 2).sum(1))
-                d[ids == s] = np.inf
-                if np.isfinite(d).any():
-                    out.append((s, float(d.min()), ids[int(d.argmin())]))
-        return pd.DataFrame(out, columns=["source_id", "d", "id"])
-
-    found = left.groupBy("split", "x", "y").cogroup(right.groupBy("split2", "x2", "y2")).applyInPandas(nearest, f"source_id {kind}, d double, id {kind}")
-    return found.groupBy("source_id").agg(F.min(F.struct("d", "id")).alias("near")).select("source_id", F.col("near.id").alias("target_source_id"), F.col("near.d").alias("distance"))
-
-
 KINDS = (("continuous", 0, "continuous", "primary"), ("skip", 1, "temporal_skip", "primary"), ("reorder", 1, "block_reorder", "primary"))
 
 
