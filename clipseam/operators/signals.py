@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,14 +104,46 @@ def tubelet_errors(latents: DataFrame, per_block: int = SPATIAL) -> DataFrame:
     return token_errors(latents).groupBy("case_id", block.alias("block")).agg((F.sum("error") / F.sum("width")).alias("error"))
 
 
-def encoder_distance(context: DataFrame, target: DataFrame) -> DataFrame:
-    """case_id, encoder_distance: 1 - cosine of the mean token vectors of two tables (case_id, vector); null where a mean is zero."""
+def mean_vectors(vectors: DataFrame) -> DataFrame:
+    """case_id, mean: the element-wise mean of vectors (case_id, vector: array of doubles, equal in width within a case); null vectors count nowhere.
+
+    A batch of rows gives one row of sums and counts per case; only these are shuffled.
+    """
+    kind = vectors.schema["case_id"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).dictionary_encode()
+            width = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            flat, code = batch.column(1).flatten().to_numpy(zero_copy_only=False), ids.indices.to_numpy(zero_copy_only=False)
+            begin = np.cumsum(width) - width
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                at = at[np.argsort(code[at], kind="stable")]
+                start = np.flatnonzero(np.append(True, np.diff(code[at]) != 0))
+                total = np.add.reduceat(flat[begin[at][:, None] + np.arange(w)], start, axis=0)
+                yield pa.RecordBatch.from_pydict({"case_id": ids.dictionary.take(pa.array(code[at][start])), "total": pa.array(list(total), pa.list_(pa.float64())), "n": np.diff(np.append(start, len(at)))})
+
+    def whole(group: pa.Table) -> pa.Table:
+        widths = set(pc.list_value_length(group["total"]).to_pylist())
+        if len(widths) > 1:
+            raise ValueError(f"vectors of one case differ in width: {sorted(widths)}")
+        mean = np.stack(group["total"].to_numpy()).sum(0) / np.asarray(group["n"]).sum()
+        return pa.table({"case_id": group["case_id"][:1], "mean": pa.array([mean], pa.list_(pa.float64()))})
+
+    held = vectors.filter("case_id IS NOT NULL AND vector IS NOT NULL").select("case_id", F.col("vector").cast("array<double>").alias("vector"))
+    parts = held.mapInArrow(sums, f"case_id {kind}, total array<double>, n long")
+    return parts.groupBy("case_id").applyInArrow(whole, f"case_id {kind}, mean array<double>")
 
-    def pooled(x: DataFrame, name: str) -> DataFrame:
-        return x.select("case_id", F.posexplode("vector").alias("dim", "v")).groupBy("case_id", "dim").agg(F.avg("v").alias(name))
 
-    both = pooled(context, "a").join(pooled(target, "b"), ["case_id", "dim"]).groupBy("case_id")
-    return both.agg((1 - F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))))).alias("encoder_distance"))
+def encoder_distance(context: DataFrame, target: DataFrame) -> DataFrame:
+    """case_id, encoder_distance: 1 - cosine of the mean token vectors of two tables (case_id, vector); null where a mean is zero, an error where widths differ."""
+    both = mean_vectors(context).withColumnRenamed("mean", "a").join(mean_vectors(target).withColumnRenamed("mean", "b"), "case_id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    checked = F.when(F.size("a") == F.size("b"), F.try_divide(dot("a", "b"), F.sqrt(dot("a", "a") * dot("b", "b")))).otherwise(F.raise_error(F.lit("context and target differ in width")).cast("double"))
+    return both.select("case_id", (1 - checked).alias("encoder_distance"))
 
 
 #: The review text of each signal, in order.

@@ -56,10 +56,20 @@ def risks(spark: SparkSession, folder: str) -> DataFrame:
 # Fingerprints and manifests
 
 
-def digest_sql(lines: str, key: str, count: str, name: str) -> str:
-    return f"""placed AS (SELECT *, substr(sha256(line), 1, {fingerprint.BUCKET_DIGITS}) AS bucket FROM ({lines})),
-  buckets AS (SELECT {key}, bucket, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM placed GROUP BY 1, 2)
-  SELECT {key}, CAST(sum(n) AS BIGINT) AS {count}, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS {name} FROM buckets GROUP BY 1"""
+def digest_sql(lines: str, key: str, count: str, name: str, levels: int = 4) -> str:
+    """A tree of at most ``levels`` levels above the leaves, as digest_lines builds it."""
+    depth = " + ".join(f"CAST(m > {fingerprint.LEAF * 16**d} AS INTEGER)" for d in range(levels))
+    raised = "".join(
+        f"""
+  level{d - 1} AS (SELECT {key}, substr(node, 1, {d - 1}) AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest FROM level{d} WHERE length(node) = {d} GROUP BY 1, 2
+    UNION ALL SELECT * FROM level{d} WHERE length(node) < {d}),"""
+        for d in range(levels, 0, -1)
+    )
+    return f"""entries AS (SELECT {key}, count(*) AS times, CAST(count(*) AS VARCHAR) || ':' || line AS entry FROM ({lines}) GROUP BY {key}, line),
+  placed AS (SELECT *, substr(sha256(entry), 1, {depth}) AS node FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS m FROM entries)),
+  level{levels} AS (SELECT {key}, node, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS digest FROM placed GROUP BY 1, 2),{raised}
+  totals AS (SELECT {key}, CAST(sum(times) AS BIGINT) AS {count} FROM entries GROUP BY 1)
+  SELECT {key}, {count}, digest AS {name} FROM totals JOIN level0 USING ({key})"""
 
 
 NAME_LINES = "SELECT DISTINCT split, CAST(source_id AS VARCHAR) AS line FROM frames"

@@ -155,17 +155,38 @@ def test_fingerprints(spark):
     assert fingerprint.corpus_manifest(spark.createDataFrame([("dev", "a"), ("dev", "b")], "split string, source_id string"), {"dev": 2}).first()["n"] == 2
 
 
-def test_digest_of_many_lines_by_hand(spark):
+def plain_digest(lines: list[str], leaf: int) -> str:
     import hashlib
+    from collections import Counter
 
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    names = [f"name-{i}" for i in range(9000)]
-    buckets = {}
-    for n in names:
-        buckets.setdefault(sha(n)[:3], []).append(n)
-    want = sha("\n".join(f"{k}:{sha(chr(10).join(sorted(v)))}" for k, v in sorted(buckets.items())))
-    found = fingerprint.corpus_manifest(spark.createDataFrame([("dev", n) for n in names], "split string, source_id string")).first()
-    assert (found["n"], found["names_sha256"]) == (9000, want)
+    entries = [f"{n}:{line}" for line, n in Counter(lines).items()]
+    depth = sum(len(entries) > leaf * 16**d for d in range(fingerprint.DEEPEST))
+
+    def node(prefix: str, own: list[str]) -> str:
+        if len(prefix) == depth:
+            return sha("\n".join(sorted(own)))
+        children: dict = {}
+        for e in own:
+            children.setdefault(sha(e)[: len(prefix) + 1], []).append(e)
+        return sha("\n".join(f"{k}:{node(k, v)}" for k, v in sorted(children.items())))
+
+    return node("", entries)
+
+
+@pytest.mark.parametrize(("leaf", "depth"), [(1_000, 1), (1, 4), (3, 3), (20_000, 0)])
+def test_digest_trees_by_hand(spark, monkeypatch, leaf, depth):
+    monkeypatch.setattr(fingerprint, "LEAF", leaf)
+    assert sum(9000 > leaf * 16**d for d in range(fingerprint.DEEPEST)) == depth
+    lines = [("a", f"name-{i}") for i in range(9000)] + [("a", "name-7")] * 5000 + [("b", "é"), ("b", "x")]
+    sizes = []
+    cut = fingerprint.cut
+    monkeypatch.setattr(fingerprint, "cut", lambda df, tag: sizes.append((tag, cut(df, tag))) or sizes[-1][1])
+    found = fingerprint.digest_lines(spark.createDataFrame(lines, "k string, line string").repartition(3), ("k",), "n", "digest").collect()
+    assert {(r["k"], r["n"], r["digest"]) for r in found} == {("a", 14000, plain_digest([v for k, v in lines if k == "a"], leaf)), ("b", 2, plain_digest(["é", "x"], leaf))}
+    entries = dict(sizes)["entries"].filter("k = 'a'")
+    largest = entries.groupBy(F.expr(f"substring(_sha, 1, {depth})")).count().agg(F.max("count")).first()[0]
+    assert largest <= max(2 * leaf, 20)  # repeated lines are one entry
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -209,3 +230,21 @@ def test_shared_folder_is_asked_for(monkeypatch):
     spark = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
     with pytest.raises(ValueError):
         storage.shared_folder(spark)
+
+
+def test_mean_vectors_send_sums_only(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i % 3}", rng.normal(size=4).tolist()) for i in range(3000)] + [("c0", None), (None, [1.0] * 4), ("w", [1.0, 3.0]), ("w", [3.0, 5.0])]
+    df = spark.createDataFrame(rows, "case_id string, vector array<double>").repartition(4)
+    found = sig.mean_vectors(df)
+    got = {r["case_id"]: r["mean"] for r in found.collect()}
+    want = {c: np.mean([v for k, v in rows if k == c and v], axis=0) for c in ("c0", "c1", "c2", "w")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k].tolist()) for k in want)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    mixed = spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "case_id string, vector array<double>")
+    with pytest.raises(Exception, match="width"):
+        sig.mean_vectors(mixed).collect()
+    zero = spark.createDataFrame([("a", [0.0, 0.0])], "case_id string, vector array<double>")
+    assert sig.encoder_distance(zero, zero).first()["encoder_distance"] is None
+    assert sig.encoder_distance(df.limit(0), df).count() == 0
