@@ -399,7 +399,22 @@ def class_weights(spark, folder):
     return rounded(calibrate.class_weights(metrics.primary_lane(tm.signals(spark, folder))))
 
 
-@query()
+#: Steps of the SQL's plain descent, and the curvature that bounds it per row of the standardised features.
+DESCENT, CURVATURE = 1_200, 0.55
+FEATURES = calibrate.HYBRID
+FIT_STATS = ", ".join(f"avg({f}) AS m{i}, CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END AS s{i}" for i, f in enumerate(FEATURES))
+FIT_Z = "b" + "".join(f" + b{i} * x{i}" for i in range(len(FEATURES)))
+FIT_STEP = ", ".join(f"any_value(b{i}) - (sum(g * x{i}) + any_value(b{i})) / ({CURVATURE} * count(*) + 1)" for i in range(len(FEATURES)))
+
+
+@query(f"""WITH RECURSIVE {tm.SIGNALS}, kept AS (SELECT discontinuous AS y, {", ".join(FEATURES)} FROM signals WHERE lane = 'primary' AND {" AND ".join(f"{f} IS NOT NULL" for f in FEATURES)}),
+  stats AS (SELECT count(*) AS n, sum(y) AS ones, {FIT_STATS} FROM kept),
+  scaled AS MATERIALIZED (SELECT y, CASE WHEN y = 1 THEN n / CAST(2 * ones AS DOUBLE) ELSE n / CAST(2 * (n - ones) AS DOUBLE) END AS w, {", ".join(f"({f} - m{i}) / s{i} AS x{i}" for i, f in enumerate(FEATURES))} FROM kept, stats),
+  descent(k, b, {", ".join(f"b{i}" for i in range(len(FEATURES)))}) AS (SELECT 0, {", ".join(["CAST(0 AS DOUBLE)"] * (len(FEATURES) + 1))}
+    UNION ALL SELECT k + 1, any_value(b) - sum(g) / ({CURVATURE} * count(*)), {FIT_STEP}
+      FROM (SELECT *, w * (1 / (1 + exp(-({FIT_Z}))) - y) AS g FROM descent, scaled WHERE k < {DESCENT}) GROUP BY k),
+  last_ AS (SELECT * FROM descent WHERE k = {DESCENT})
+  {" UNION ALL ".join(f"SELECT '{f}' AS feature, round(b{i}, 6) AS coefficient FROM last_" for i, f in enumerate(FEATURES))} UNION ALL SELECT 'intercept', round(b, 6) FROM last_""")
 def fit_calibrator(spark, folder):
     found = calibrate.fit_calibrator(tm.signals(spark, folder), calibrate.HYBRID)
     rows = [*zip(found.features, found.coefficients, strict=True), ("intercept", found.intercept)]

@@ -137,3 +137,27 @@ def test_jobs_from_frames(spark, tmp_path):
         ev.develop_frames(images, path, force=True, held_out=out, motion_side=16)
     with pytest.raises(ValueError, match="held-out cases"):
         ev.hold_out_frames(images.filter("source_id <> 'test-b'"), path, f"{out}-2", motion_side=16)
+
+
+def test_newton_steps_equal_mllib(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = scored(spark, "dev").filter("lane = 'primary'")
+    found = calibrate.fit_calibrator(rows, calibrate.HYBRID)
+    n = rows.count()
+    weights = {r["discontinuous"]: r["n"] for r in rows.groupBy("discontinuous").agg(F.count("*").alias("n")).collect()}
+    x = [((F.col(f) - m) / s).alias(f"x{i}") for i, (f, m, s) in enumerate(zip(found.features, found.mean, found.scale, strict=True))]
+    w = F.when(F.col("discontinuous") == 1, n / (2 * weights[1])).otherwise(n / (2 * weights[0]))
+    table = VectorAssembler(inputCols=[f"x{i}" for i in range(len(x))], outputCol="x").transform(rows.select(F.col("discontinuous").cast("double").alias("label"), w.alias("w"), *x))
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12).fit(table)
+    assert [*found.coefficients, found.intercept] == pytest.approx([*model.coefficients, model.intercept], abs=1e-6)
+
+
+def test_separable_and_constant_features(spark):
+    rows = [(float(i), 3.0, float(-i), int(i >= 10), "primary") for i in range(20)]
+    df = spark.createDataFrame(rows, "histogram_distance double, ssim_distance double, flow_discontinuity double, discontinuous int, lane string")
+    found = calibrate.fit_calibrator(df)
+    assert found.coefficients[1] == pytest.approx(0) and found.coefficients[0] == pytest.approx(-found.coefficients[2]) and found.coefficients[0] > 1
+    with pytest.raises(ValueError, match="both labels"):
+        calibrate.fit_calibrator(df.filter("discontinuous = 1"))
