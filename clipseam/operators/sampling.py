@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +49,34 @@ def fixed_rate_sample(timed: DataFrame, sample_fps: float = SAMPLE_FPS) -> DataF
     return taken.join(rows.select("clip_id", "at", "ordinal"), ["clip_id", "at"]).select("clip_id", "tick", "ordinal")
 
 
+def sample_in_any_order(timed: DataFrame, sample_fps: float = SAMPLE_FPS) -> DataFrame:
+    """fixed_rate_sample() for clips whose times may fall: frames in order of ordinal, each taken if its time reaches the next tick. A clip is one task's work, as long as the frame limit allows."""
+    kind = timed.schema["clip_id"].dataType.simpleString()
+
+    def take(group: pa.Table) -> pa.Table:
+        group = group.sort_by("ordinal")
+        times, at = group["time_s"].to_pylist(), []
+        following = 0.0
+        for i, t in enumerate(times):
+            if t is not None and t + NEAR >= following:
+                at.append(i)
+                following += 1 / sample_fps
+        kept = group.take(pa.array(at, pa.int64()))
+        return pa.table({"clip_id": kept["clip_id"], "tick": pa.array(range(len(at)), pa.int64()), "ordinal": kept["ordinal"].cast(pa.int64())})
+
+    return timed.select("clip_id", "ordinal", "time_s").groupBy("clip_id").applyInArrow(take, f"clip_id {kind}, tick long, ordinal long")
+
+
+def sampled_clips(decoded: DataFrame, sample_fps: float = SAMPLE_FPS, limit: int = FRAME_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Sampled frames (clip_id, tick, ordinal) of the clips within the frame limit, and all clips' counts (clip_id, n, rejected).
+
+    Frames are counted with duplicates, missing times are filled, repeated stamps are dropped, and what is left is sampled.
+    """
+    counts = frame_limit(decoded, limit)
+    kept = decoded.join(counts.filter("rejected").select("clip_id"), "clip_id", "left_anti")
+    return sample_in_any_order(dedupe_pts(fallback_time(kept, sample_fps)), sample_fps), counts
+
+
 def clip_pair_window(sampled: DataFrame, pairs: DataFrame, horizon: int) -> DataFrame:
     """pair_id, role, position, ordinal: the last 16 - horizon frames of clip_a, the first horizon of clip_b; pairs with a clip too short are left out."""
     need = {"context": TOTAL - horizon, "target": horizon}

@@ -11,7 +11,7 @@ from .functions.storage import cut, new_folder
 from .jobs import evaluation as ev
 from .operators import sampling, scoring
 from .operators.metrics import rounded
-from .queries import HORIZON, RISK, THRESHOLD, clip_pairs, matched_cases
+from .queries import HORIZON, RISK, THRESHOLD, matched_cases
 from .sources import frames as files
 from .sources import testmap as tm
 from .streaming.score import score_stream
@@ -24,6 +24,10 @@ SQL = {
     "read_splits": f"WITH {tm.FRAMES} SELECT DISTINCT split, CAST(source_id AS VARCHAR) AS source_id FROM frames",
     "read_frames": f"""WITH {tm.FRAMES} SELECT CAST(source_id AS VARCHAR) AS source_id, frame_index, {tm.HEIGHT} AS height, {tm.WIDTH} AS width,
   CAST(30 + 25 * (source_id % 8) AS DOUBLE) AS red, CAST(CAST(floor(abs(coalesce(value, 0)) * 7) AS BIGINT) % 255 AS DOUBLE) AS green, CAST(36 * 255 AS BIGINT) AS blue FROM frames""",
+    "predictions_csv": f"""WITH {tm.SIGNALS}, p AS (SELECT * EXCLUDE (prediction_error, encoder_distance), {core.PROXY} AS prediction_error, 0.65 * histogram_distance + 0.35 * ssim_distance AS encoder_distance, CAST(greatest(1, horizon // 2) AS INTEGER) AS tubelets FROM signals),
+  s AS (SELECT *, tubelets * prediction_error AS tubelet_sum FROM p) SELECT case_id, source_id, split, discontinuous, corruption, lane, horizon, tubelets, {", ".join(f"round({c}, 4) AS {c}" for c in ("prediction_error", "encoder_distance", "histogram_distance", "ssim_distance", "flow_discontinuity", "cheap_ms", "model_ms", "peak_vram_mb", "tubelet_sum"))} FROM s""",
+    "frame_colour": f"""WITH {tm.FRAMES} SELECT source_id, split, round((30 + 25 * (source_id % 8)) / CAST(255 AS DOUBLE), 6) AS red, round(CAST(floor(abs(coalesce(value, 0)) * 7) AS BIGINT) % 255 / CAST(255 AS DOUBLE), 6) AS green, round(36 / CAST({tm.HEIGHT * tm.WIDTH} AS DOUBLE), 6) AS blue
+  FROM (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM frames) WHERE frame_index = n // 2""",
     "stream_score": f"""WITH {tm.SIGNALS}, s AS (SELECT case_id, {core.risk_sql(core.RISK)} AS r FROM signals)
   SELECT case_id, round(r, 9) AS risk, CAST(r >= {core.THRESHOLD} AS INTEGER) AS flagged, CAST(round_even(100 * r, 0) AS INTEGER) AS display_score FROM s""",
 }
@@ -68,12 +72,16 @@ def cases_jsonl(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def predictions_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored rows written as CSV with a header and read back as text."""
+    """Scored rows written as CSV with a header, read back and cast; the array that went as JSON by its size and sum."""
     from .operators.signals import proxy_scores
 
     path = new_folder(spark, "predictions")
-    files.write_predictions(proxy_scores(tm.signals(spark, folder)), path)
-    return spark.read.option("header", True).csv(path)
+    rows = proxy_scores(tm.signals(spark, folder))
+    files.write_predictions(rows, path)
+    read = spark.read.option("header", True).csv(path)
+    errors = F.from_json("tubelet_errors", "array<double>")
+    found = [F.size(errors).alias("tubelets"), F.aggregate(errors, F.lit(0.0), lambda s, v: s + v).alias("tubelet_sum")]
+    return rounded(read.select(*[F.col(c).cast(t).alias(c) for c, t in rows.dtypes if c != "tubelet_errors"], *found), 4)
 
 
 @query
@@ -144,7 +152,10 @@ def frozen(spark: SparkSession, folder: str) -> ev.FrozenSpec:
 
 @query
 def development_job(spark: SparkSession, folder: str) -> DataFrame:
-    spec = frozen(spark, folder)
+    return spec_rows(spark, frozen(spark, folder))
+
+
+def spec_rows(spark: SparkSession, spec: ev.FrozenSpec) -> DataFrame:
     rows = [(spec.horizon, round(spec.threshold, 6), f, round(m, 6), round(s, 6), round(c, 6), round(spec.hybrid.intercept, 6)) for f, m, s, c in zip(spec.hybrid.features, spec.hybrid.mean, spec.hybrid.scale, spec.hybrid.coefficients, strict=True)]
     return spark.createDataFrame(rows, "horizon int, threshold double, feature string, mean double, scale double, coefficient double, intercept double")
 
@@ -158,7 +169,10 @@ def long_table(df: DataFrame, name: str, key: str | None) -> DataFrame:
 @query
 def holdout_job(spark: SparkSession, folder: str) -> DataFrame:
     """All held-out metrics of the frozen spec, a row each."""
-    found = ev.evaluate(tm.signals(spark, folder).filter("split = 'test'"), frozen(spark, folder))
+    return metric_rows(ev.evaluate(tm.signals(spark, folder).filter("split = 'test'"), frozen(spark, folder)))
+
+
+def metric_rows(found: dict[str, DataFrame]) -> DataFrame:
     parts = [long_table(found[k], k, key) for k, key in (("summary", None), ("ranking", "signal"), ("accuracy", None), ("recall", "corruption"), ("intervals", "delta"))]
     out = parts[0]
     for p in parts[1:]:
@@ -186,19 +200,42 @@ def verify_spec(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def review_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Review rows of clip pairs: sampled, windowed, scored from pixels, with display score and flag."""
-    pairs = clip_pairs(spark, folder)
+    """Pairs of decoded clips, each clip with itself and with the next one: review rows, rejected pairs, alert rates and summary, as long rows."""
+    clips = tm.decoded(spark, folder)
     paths = tm.frames(spark, folder).select(F.col("source_id").alias("clip_id"), (F.col("frame_index") + 1).alias("ordinal"), "frame_path")
-    clip = F.when(F.col("role") == "context", F.col("pair_id")).otherwise(F.col("pair_id") + 1)
-    met = pairs.withColumn("clip_id", clip).join(paths, ["clip_id", "ordinal"])
-    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("position", "frame_path")))), lambda x: x["frame_path"])
-    rows = met.groupBy("pair_id").agg(side("context").alias("context_paths"), side("target").alias("target_paths"))
-    rows = rows.select(F.concat_ws("-", F.lit("pair"), F.col("pair_id").cast("string")).alias("case_id"), F.col("pair_id").alias("source_id"), F.lit("test").alias("split"), F.lit(1).alias("discontinuous"), F.lit("unknown").alias("corruption"), F.lit("primary").alias("lane"), F.lit(HORIZON).alias("horizon"), "context_paths", "target_paths", (F.col("pair_id") + 1).alias("target_source_id"))
-    rows = cut(rows, "review")
-    scored = scoring.score_cases(rows, boundary_signatures(spark, folder, rows))
+    kinds = F.array(F.struct(F.lit("continuous").alias("corruption"), F.lit(0).alias("discontinuous")), F.struct(F.lit("cross_video_splice").alias("corruption"), F.lit(1).alias("discontinuous")))
+    each = clips.select(F.col("clip_id").alias("clip_a")).distinct().select("clip_a", F.explode(kinds).alias("k")).select("clip_a", "k.*")
+    pairs = each.select(F.concat_ws("-", F.col("clip_a").cast("string"), "corruption").alias("pair_id"), "clip_a", (F.col("clip_a") + F.col("discontinuous")).alias("clip_b"), "discontinuous", "corruption")
     spec = ev.FrozenSpec(HORIZON, RISK, RISK, THRESHOLD)
     spec = ev.FrozenSpec(HORIZON, RISK, RISK, THRESHOLD, fingerprint=spec.digest())
-    return rounded(ev.review(scored, spec))
+    found = ev.review_clips(clips.join(paths, ["clip_id", "ordinal"]), pairs, lambda needed: tm.images(spark, folder, needed), spec, HORIZON, core.HALF_DAY, limit=80)
+    rows = found["review"].select(F.lit("review").alias("part"), F.col("case_id").alias("of"), F.col("signal").alias("metric"), F.col("value").alias("value"))
+    shown = found["review"].filter("place = 0").select("case_id", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("display_score", "flagged")])).alias("r"))
+    rows = rows.unionByName(shown.select(F.lit("review").alias("part"), F.col("case_id").alias("of"), "r.*"))
+    rows = rows.unionByName(found["rejected"].select(F.lit("rejected").alias("part"), F.col("pair_id").alias("of"), F.col("reason").alias("metric"), F.least("sampled_a", "sampled_b").cast("double").alias("value")))
+    timings = ("mean_cheap_ms", "mean_model_ms")
+    return rounded(rows.unionByName(long_table(found["alerts"], "alerts", None)).unionByName(long_table(found["summary"].drop(*timings), "summary", None)))
+
+
+def image_jobs(spark: SparkSession, folder: str) -> tuple[DataFrame, str, ev.Loader]:
+    """All frames by index, where a spec goes, and how pixels of some of them are drawn."""
+    return tm.frames(spark, folder), new_folder(spark, "spec"), lambda needed: tm.images(spark, folder, needed)
+
+
+@query
+def develop_from_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The spec that development freezes from all frames of the dev split, from pixels to threshold."""
+    frames, path, load = image_jobs(spark, folder)
+    return spec_rows(spark, ev.develop_frames(frames, path, load=load))
+
+
+@query
+def hold_out_from_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Development from all frames, then held-out evaluation of the test split from its frames, a row per metric."""
+    frames, path, load = image_jobs(spark, folder)
+    ev.develop_frames(frames, path, load=load)
+    found = metric_rows(ev.hold_out_frames(frames, path, new_folder(spark, "held-out"), load=load))
+    return found.filter("metric <> 'mean_cheap_ms'")  # a time, other at each run
 
 
 @query
