@@ -1,19 +1,20 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-Fingerprints of 64 bits lie on a ring of four segments. If two differ in at most t bits, there is a segment from which
-every chain of l consecutive segments differs in at most l * t / 4 bits. So a pair must agree in one whole segment,
-which is the key of the search, and from there the differences of two, three and four segments must stay in their
-budgets; only what passes is a link. Copies fall together first: the search is over distinct fingerprints. A key that
-many fingerprints share is dealt as pairs of tiles of bounded size, each to a task of its own, and a tile gives back a
-spanning forest of its links, never the pairs.
-
-Up to 7 bits, the first segment of some chain differs in one bit at most; then a key is a segment without one of its
-bits, for each of the 16. Links between 4 and 7 bits also need a second, wide fingerprint of five-word shingles to agree.
+Fingerprints of 64 bits lie on a ring of segments. If two differ in at most t bits, there is a segment of the m from which
+every chain of l consecutive segments differs in at most l * t / m bits. For up to 3 bits there are six segments: six less t of them agree
+whole, and every choice of so many is a key of the search, of about 32 bits for 3 bits, so that few fingerprints meet by chance. Those that meet must have a
+segment whose chains of two and three stay in their budgets before all bits are compared. Copies fall together first: the search is over
+distinct fingerprints. A key that many fingerprints share is dealt as pairs of tiles of bounded size, each to a task of its
+own, and a tile gives back a spanning forest of its links, never the pairs.
+
+From 4 to 7 bits there are four segments; the first of some chain differs in one bit at most, and a key is a segment without one of its
+bits, for each of the 16; from there chains of two, three and four stay in their budgets. Such links also need a second, wide fingerprint of five-word shingles to agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, held, small_side, table, text_bytes
+from .common import LOWER, cut, held, join_skewed, small_side, table, text_bytes
 from .components import components, forest
 
 SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
@@ -30,8 +31,10 @@ TILE = 2048
 #: Five-word shingle sets of one size and similarity 0.8 have the cosine 8 / 9, at which acos(8 / 9) / pi * 256 = 38.8 bits are expected to differ.
 NEAR_BITS, WIDE_BITS, WIDE_SHINGLE, WIDE_WORDS = 7, 38, 5, 4
 WIDE = tuple(f"w{i}" for i in range(WIDE_WORDS))
-#: Keys of a segment: without one of its 16 bits, or whole.
-FORMS = 17
+#: Keys of one of the four segments: without one of its 16 bits.
+FORMS = 16
+#: The six segments for few bits, from the highest bit.
+RING = tuple(((1 << width) - 1) << shift for width, shift in zip((11, 11, 11, 11, 10, 10), (53, 42, 31, 20, 10, 0), strict=True))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -80,28 +83,57 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, near: bool = False) ->
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fp long{more}")
 
 
-def linked(key: np.ndarray, ring: np.ndarray, tile: np.ndarray, split: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs. Rows are sorted by key; ring: the bits from the key's segment on; split: rows of two tiles, to be compared across only."""
+def chained(x: np.ndarray, bits: int) -> np.ndarray:
+    """Of differences of fingerprints, those of at most ``bits``: first chains of up to three segments must stay in their budgets from some segment on, then all bits count."""
+    counts = np.stack([np.bitwise_count(x & np.uint64(m)).astype(np.int64) for m in RING])
+    ok, n = np.zeros(len(x), bool), len(RING)
+    for start in range(n):
+        inside, sums = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+        for chain in (1, 2, 3):
+            sums = sums + counts[(start + chain - 1) % n]
+            inside &= sums * n <= bits * chain
+        ok |= inside
+    ok[ok] = np.bitwise_count(x[ok]) <= bits
+    return ok
+
+
+def chained_from(x: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
+    """The same for keys of one of four segments: chains from the key's segment, as far as all four."""
+    shift = (16 * (i // FORMS)).astype(np.uint64)
+    ring = np.where(i >= FORMS, (x << shift) | (x >> ((np.uint64(64) - shift) % np.uint64(64))), x)
+    ok = np.ones(len(x), bool)
+    for segments in range(2, SEGMENTS + 1):
+        ok &= np.bitwise_count(ring >> np.uint64(64 - 16 * segments)) * SEGMENTS <= bits * segments
+    return ok
+
+
+def linked(key: np.ndarray, i: np.ndarray, fp: np.ndarray, tile: np.ndarray, split: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs. Rows are sorted by key; i: the key's form; split: rows of two tiles, to be compared across only."""
     left, right = [], []
     at, d = np.arange(len(key)), 0
     while len(at):
         d += 1
         at = at[at < len(key) - d]
         at = at[key[at] == key[at + d]]
-        x = ring[at] ^ ring[at + d]
-        ok = ~split[at] | (tile[at] != tile[at + d])
-        for segments in range(2, SEGMENTS + 1):
-            ok &= np.bitwise_count(x >> np.uint64(64 - 16 * segments)) * SEGMENTS <= bits * segments
-        left.append(at[ok])
-        right.append(at[ok] + d)
+        met = at[~split[at] | (tile[at] != tile[at + d])]
+        x = fp[met] ^ fp[met + d]
+        met = met[chained(x, bits) if bits <= BITS else chained_from(x, i[met], bits)]
+        left.append(met)
+        right.append(met + d)
     return np.concatenate(left or [at]), np.concatenate(right or [at])
 
 
 def segment_keys(bits: int) -> Column:
-    """An array of i, the segment and the form of its key (i = segment * FORMS + form), and seg, the key: two fingerprints whose segments differ in at most bits // SEGMENTS bits share a key."""
-    forms = range(FORMS - 1) if bits >= SEGMENTS else [FORMS - 1]
-    whole = lambda i: F.shiftright(F.shiftleft("fp", 16 * i), 48).bitwiseAND(0xFFFF)
-    return F.array(*[F.struct(F.lit(i * FORMS + m).alias("i"), whole(i).bitwiseAND(0xFFFF & ~(1 << m)).cast("int").alias("seg")) for i in range(SEGMENTS) for m in forms])
+    """An array of i, the form of a key, and seg, the key: two fingerprints that differ in at most ``bits`` bits share a key.
+
+    Up to BITS: the segments of a choice of six less bits of RING. Beyond: a quarter without one of its bits (i = quarter * FORMS + the bit).
+    """
+    if bits <= BITS:
+        masks = [sum(chosen) for chosen in combinations(RING, len(RING) - bits)]
+    else:
+        masks = [(0xFFFF & ~(1 << m)) << (48 - 16 * i) for i in range(SEGMENTS) for m in range(FORMS)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("seg")) for i, m in enumerate(signed)])
 
 
 def link_fingerprints(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
@@ -127,9 +159,7 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -
             for x in (i, seg, low, high):
                 new[1:] |= x[1:] != x[:-1]
             bits_ = fp.view(np.uint64)
-            shift = (16 * (i // FORMS)).astype(np.uint64)
-            ring = np.where(i > 0, (bits_ << shift) | (bits_ >> ((np.uint64(64) - shift) % np.uint64(64))), bits_)
-            a, b = linked(np.cumsum(new), ring, tile_, low != high, bits)
+            a, b = linked(np.cumsum(new), i, bits_, tile_, low != high, bits)
             if more:
                 apart = sum(np.bitwise_count(w.view(np.uint64)[a] ^ w.view(np.uint64)[b]).astype(np.int64) for w in more)
                 near = (np.bitwise_count(bits_[a] ^ bits_[b]) <= BITS) | (apart <= WIDE_BITS)
@@ -159,17 +189,18 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, ne
 
     near: also at NEAR_BITS or fewer, if the wide fingerprints of five-word shingles differ in WIDE_BITS or fewer.
     Null and empty texts share the fingerprint zero and link like any other; null doc_ids stay out of the minimum;
-    repeated rows fall together; other columns are left out; an empty table gives an empty result.
+    repeated rows fall together; a text is hashed whole in one task, which holds its words and their hashes (some hundred bytes a word);
+    other columns are left out; an empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, shingle, near), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_rows"))
     searched = marked.select("fp", *WIDE).distinct() if near else distinct.select("fp")
     found = components(link_fingerprints(searched, NEAR_BITS if near else bits))
-    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", "_rows", F.coalesce("component", "fp").alias("component"))
     grouped = cut(grouped, "groups")
-    first = grouped.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_component")
-    by_fp = grouped.join(first, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    first = grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"))
+    by_fp = join_skewed(grouped.select("fp", "_rows", "component"), first, ["component"], grouped.count()).select("fp", F.col("_rows").alias("_n"), "component_id")
+    return join_skewed(marked.select("doc_id", "fp"), cut(by_fp, "by-fingerprint"), ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ class Counter:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null text: empty, 0 tokens. tokenizer: JSON text of a tokenizer with this pre-token rule. Other columns are left
+    Null text: empty, 0 tokens. A text of any length is counted whole in one task, which holds all its pre-tokens. tokenizer: JSON text of a tokenizer with this pre-token rule. Other columns are left
     out; repeated rows give repeated rows; an empty table gives none.
     """
     spec = tokenizer or tokenizer_json(TOKENIZER)
