@@ -34,9 +34,9 @@ def ranked_counts(rows: DataFrame) -> DataFrame:
     return held.groupBy("signal", "score").agg(F.sum("discontinuous").cast("long").alias("positives"), F.count("*").alias("n"))
 
 
-def running_totals(counts: DataFrame, keys: tuple[str, ...] = ("signal",), rows: int = RANGE_ROWS) -> DataFrame:
-    """tp and k (positives and rows at or above the score), all_positives and all_n, per distinct score of each key."""
-    placed = ranged(counts, *keys, "score", rows=rows)
+def running_totals(counts: DataFrame, keys: tuple[str, ...] = ("signal",), rows: int = RANGE_ROWS, written: int | None = None) -> DataFrame:
+    """tp and k (positives and rows at or above the score), all_positives and all_n, per distinct score of each key. written: the rows of counts, where it is a written table."""
+    placed = ranged(counts, *keys, "score", rows=rows, count=written)
     by = W.partitionBy(*keys)
     parts = placed.groupBy(*keys, "_range").agg(F.sum("positives").alias("_p"), F.sum("n").alias("_n"))
     above = by.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # a row per range
@@ -94,9 +94,9 @@ def summary_metrics(rows: DataFrame) -> DataFrame:
         F.avg(F.coalesce("cheap_ms", F.lit(0.0))).alias("mean_cheap_ms"), F.avg(F.coalesce("model_ms", F.lit(0.0))).alias("mean_model_ms"), F.max("peak_vram_mb").alias("peak_vram_mb"))
 
 
-def quantiles(counts: DataFrame, keys: tuple[str, ...], at: tuple[float, ...], rows: int = RANGE_ROWS) -> DataFrame:
+def quantiles(counts: DataFrame, keys: tuple[str, ...], at: tuple[float, ...], rows: int = RANGE_ROWS, written: int | None = None) -> DataFrame:
     """keys and q: the linearly interpolated quantiles of counted scores (keys, score, n), taken from running totals; exact."""
-    total = running_totals(counts.withColumn("positives", F.lit(0)), keys, rows)
+    total = running_totals(counts.withColumn("positives", F.lit(0)), keys, rows, written)
     first, last = F.col("all_n") - F.col("k"), F.col("all_n") - F.col("k") + F.col("n") - 1
     place = lambda q: F.lit(q) * (F.col("all_n") - 1)
     holds = lambda i: F.max(F.when((first <= i) & (i <= last), F.col("score")))
@@ -110,7 +110,7 @@ def box_stats(rows: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("score")) for n in names]))
     long = rows.select("corruption", each.alias("s")).select("corruption", "s.*").filter("score IS NOT NULL AND corruption IS NOT NULL")
     counts = cut(long.groupBy("signal", "corruption", "score").agg(F.count("*").alias("n")), "values")
-    quart = quantiles(counts, ("signal", "corruption"), (0.25, 0.5, 0.75))
+    quart = quantiles(counts, ("signal", "corruption"), (0.25, 0.5, 0.75), written=counts.count())
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     kept = counts.join(quart, ["signal", "corruption"]).filter((F.col("score") >= F.col("q")[0] - reach) & (F.col("score") <= F.col("q")[2] + reach))
     return kept.groupBy("signal", "corruption").agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min("score").alias("low"), F.max("score").alias("high"))

@@ -250,7 +250,7 @@ CLOCK = """clock AS (SELECT user_id AS clip_id, CAST(row_number() OVER (PARTITIO
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / CAST(1e6 AS DOUBLE) AS time_s FROM events WHERE user_id IS NOT NULL)"""
 SAMPLED = f"""{CLOCK}, spot AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ordinal) - 1 AS pos FROM clock),
  ends AS (SELECT clip_id, max(time_s) AS t, count(*) AS n FROM clock GROUP BY 1),
- ticks AS (SELECT clip_id, k FROM ends, range(1000) r(k) WHERE k <= least(floor((t + 1e-9) * CAST({HALF_DAY!r} AS DOUBLE)), n - 1)),
+ ticks AS (SELECT clip_id, unnest(range(CAST(least(floor((t + 1e-9) * CAST({HALF_DAY!r} AS DOUBLE)), n - 1) AS BIGINT) + 1)) AS k FROM ends WHERE t >= 0),
  before AS (SELECT t.clip_id, k, (SELECT count(*) FROM spot s WHERE s.clip_id = t.clip_id AND s.time_s + 1e-9 < k / CAST({HALF_DAY!r} AS DOUBLE)) AS f FROM ticks t),
  taken AS (SELECT clip_id, k, k + max(f - k) OVER (PARTITION BY clip_id ORDER BY k) AS pos FROM before),
  sampled AS (SELECT clip_id, CAST(k AS BIGINT) AS tick, ordinal FROM taken JOIN spot USING (clip_id, pos))"""
