@@ -96,17 +96,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """docs: doc_id, text; labels: doc_id, quality (0 or 1; null is left out). At most 2 * SAMPLE feature rows reach the driver.
 
-    With one label only there is no model. Repeated ids count once for each row.
+    With one label only there is no model. Of rows that repeat an id and label one counts, that of the smallest text.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("int").alias("quality")).distinct()
     totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(totals) < 2:
         return QualityModel()
     sample = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect() for q in (0, 1)]
     chosen = spark.createDataFrame([(r["doc_id"], r["quality"]) for rows in sample for r in rows], known.select(F.col("doc_id").alias("_id"), "quality").schema)
     picked = docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    picked = picked.select("quality", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"), F.xxhash64("doc_id").alias("order"), "_text")
+    picked = picked.groupBy("doc_id", "quality").agg(F.min("_text").alias("_text")).select("quality", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"), F.xxhash64("doc_id").alias("order"), "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

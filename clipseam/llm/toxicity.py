@@ -222,15 +222,16 @@ class NearestExamples:
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; rows with null are left out). train: a condition on doc_id.
 
-    A document with several labels counts once for each. What reaches the driver: SAMPLE ids, and the examples with the
-    statistics of their terms.
+    A document with several labels counts once for each; of rows that repeat an id and label one counts, that of the smallest text. What reaches the
+    driver: SAMPLE ids, and the terms of the examples with their statistics.
     """
     spark = docs.sparkSession
     marked = labels.filter(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     marked = marked.join(docs.select(F.col("doc_id").alias("_d")).distinct(), F.col("_id") == F.col("_d"), "left_semi")
     drawn = marked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(SAMPLE).collect()
-    marked = F.broadcast(spark.createDataFrame([(r["_id"], r["toxic"]) for r in drawn], marked.schema))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
+    marked = F.broadcast(spark.createDataFrame(sorted({(r["_id"], r["toxic"]) for r in drawn}), marked.schema))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))  # SAMPLE rows at most
 
     def mark_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +269,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
 
     alone = cut(alone, "examples")
     terms = alone.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    taken = sorted(alone.filter(F.concat_ws(" ", "doc_id", "toxic").isin(indexed)).collect(), key=lambda r: (r["toxic"], r["doc_id"]))
-    counts = [terms_of(r["text"]) for r in taken]
+
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms_of(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[*c] for c in found], pa.list_(pa.string())), pa.array([[*c.values()] for c in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
+
+    picked = alone.filter(F.concat_ws(" ", "doc_id", "toxic").isin(indexed)).mapInArrow(vectors_of, "doc_id string, toxic int, terms array<string>, counts array<long>")
+    taken = sorted(picked.collect(), key=lambda r: (r["toxic"], r["doc_id"]))
+    counts = [dict(zip(r["terms"], r["counts"], strict=True)) for r in taken]
     held_terms = spark.createDataFrame(pa.table({"_term": pa.array(sorted({t for c in counts for t in c}), pa.string())}))
     known = terms.join(held_terms, F.col("term") == F.col("_term")).select("term", "a", "b").toArrow().sort_by("term")
     names = {t: i for i, t in enumerate(known["term"].to_pylist())}

@@ -522,3 +522,15 @@ def test_segments_hold_each_string_once_in_chunks_of_any_size(monkeypatch):
     assert len(whole) == (lengths - 399).clip(0).sum()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     assert by_start() == whole
+
+
+def test_models_take_one_row_of_each_id_and_label(spark, small_folder):
+    """Repeated rows of a labelled document, and repeated labels, change neither model; no text reaches the driver."""
+    docs, labels = (spark.read.parquet(f"{small_folder}/{n}.parquet") for n in ("documents", "labels"))
+    some = docs.filter("doc_id % 4 = 0")
+    more = docs.unionByName(some).unionByName(some)
+    again = labels.unionByName(labels.filter("doc_id % 3 = 0"))
+    once, twice = toxicity.fit(docs, labels, toxicity.fold_of() != 0), toxicity.fit(more, again, toxicity.fold_of() != 0)
+    assert once.ids == twice.ids and once.terms == twice.terms and np.allclose(once.weights, twice.weights) and once.curve == pytest.approx(twice.curve)
+    a, b = quality.fit(docs, labels), quality.fit(more, again)
+    assert np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
