@@ -3,7 +3,7 @@
 Terms are words, and the first STEMS letters of longer words, told apart by whether a text has them once, twice, three or
 five times. Every term of the examples is indexed. A text is a TF-IDF vector over these terms; a term's idf is raised by
 how far it stands in more toxic training rows than chance explains (the signed root of its log-likelihood ratio), and
-no term's weight is zero. The index is inverted, with the examples in blocks and each term's largest weight per block: a
+no term's weight is zero (plain idf is an option). The index is inverted, with the examples in blocks and each term's largest weight per block: a
 query bounds every block's cosine from above, visits blocks from the highest bound down, and stops when the next bound
 cannot reach its k-th best; so the k nearest are exact. Ties at the k-th place all vote. Votes weigh by closeness and by
 the rows that an example of its label stands for, are smoothed by the base rate, and a logistic curve fitted on
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import check_carry, cut, fit_curve, fold_of, held, table
 
-NEIGHBOURS, SAMPLE, EXAMPLES, BLOCK = 9, 24_000, 512, 64
+NEIGHBOURS, SAMPLE, EXAMPLES, BLOCK = 9, 24_000, 512, 256
 STEMS, LEVELS = (4, 6), (1, 2, 3, 5)
 #: The part of the idf that every term has; deviations from equal shares that chance explains; blocks visited at a time.
-FLOOR, CHANCE, VISIT = 0.02, 3.0, 8
+FLOOR, CHANCE, VISIT = 0.02, 3.0, 2
 #: Words that a process remembers.
-WORDS = 60_000
+WORDS = 120_000
 FIND = re.compile(r"[^\W\d_]+").findall
 
 
@@ -56,9 +56,11 @@ def copy_key(text: str) -> int:
     return min((zlib.crc32(f"{a} {b}".encode()) for a, b in {*zip(words, words[1:], strict=False)}), default=zlib.crc32(" ".join(words).encode()))
 
 
-def term_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Of terms in so many toxic and clean rows: the idf, raised by the root of the log-likelihood ratio beyond CHANCE where the term leans to toxic rows."""
+def term_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, lean: bool = True) -> np.ndarray:
+    """Of terms in so many toxic and clean rows: the idf, with lean raised by the root of the log-likelihood ratio beyond CHANCE where the term leans to toxic rows."""
     n, rows = n_toxic + n_clean, toxic + clean
+    if not lean:
+        return np.log((1 + n) / (1 + rows)) + 1
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
@@ -219,8 +221,8 @@ class NearestExamples:
         return self.memory[key]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; rows with null are left out). train: a condition on doc_id.
+def fit(docs: DataFrame, labels: DataFrame, train: Column, lean: bool = True) -> NearestExamples:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; rows with null are left out). train: a condition on doc_id. lean: term_weights() learn from labels; without, neighbours are those of plain TF-IDF.
 
     A document with several labels counts once for each; of rows that repeat an id and label one counts, that of the smallest text. What reaches the
     driver: SAMPLE ids, and the terms of the examples with their statistics.
@@ -281,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> NearestExamples:
     held_terms = spark.createDataFrame(pa.table({"_term": pa.array(sorted({t for c in counts for t in c}), pa.string())}))
     known = terms.join(held_terms, F.col("term") == F.col("_term")).select("term", "a", "b").toArrow().sort_by("term")
     names = {t: i for i, t in enumerate(known["term"].to_pylist())}
-    weights = term_weights(np.asarray(known["a"], float), np.asarray(known["b"], float), n_toxic, n_clean)
+    weights = term_weights(np.asarray(known["a"], float), np.asarray(known["b"], float), n_toxic, n_clean, lean)
     labels_ = np.array([r["toxic"] for r in taken], float)
     share = np.where(labels_ > 0, n_toxic / max(1, labels_.sum()), n_clean / max(1, (1 - labels_).sum()))
     vectors, keep = [], []

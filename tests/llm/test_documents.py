@@ -534,3 +534,11 @@ def test_models_take_one_row_of_each_id_and_label(spark, small_folder):
     assert once.ids == twice.ids and once.terms == twice.terms and np.allclose(once.weights, twice.weights) and once.curve == pytest.approx(twice.curve)
     a, b = quality.fit(docs, labels), quality.fit(more, again)
     assert np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
+
+
+def test_plain_idf_is_an_option(spark, small_folder):
+    docs, labels = (spark.read.parquet(f"{small_folder}/{n}.parquet") for n in ("documents", "labels"))
+    plain = toxicity.fit(docs, labels, toxicity.fold_of() != 0, lean=False)
+    rows = np.array([2.0, 30.0])
+    assert toxicity.term_weights(rows, rows, 50, 70, lean=False) == pytest.approx(np.log(121 / (1 + 2 * rows)) + 1)
+    assert plain.weights.min() >= 1  # labels raise or lower nothing
