@@ -45,12 +45,44 @@ def test_stages_take_effect(spark, small_folder):
     assert Bag(r["doc_id"] for r in pipeline.run(spark, small_folder).select("doc_id").collect()) == Bag(r["doc_id"] for r in kept[5].select("doc_id").collect())
 
 
-def test_stages_stand_edges(spark, small_folder, edge_docs, no_docs):
-    for docs in (edge_docs, no_docs):
-        n = docs.count()
-        for name, stage in pipeline.STAGES:
-            docs = cut(stage(spark, docs, small_folder), "edge")
-        assert docs.count() <= 3 * n
+def test_stages_stand_edges(spark, small_folder, edge_docs, no_docs, tmp_path):
+    """Each stage on rows with null ids and texts, white space, very long texts, repeated rows and extra columns: what comes out of it."""
+    path = f"file://{tmp_path}/edges"
+    edge_docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    given = Bag((r["doc_id"], r["text"]) for r in docs.collect())
+    out = {name: cut(stage(spark, docs, small_folder), "edge") for name, stage in pipeline.STAGES}
+    rows = {name: Bag((r["doc_id"], r["text"]) for r in out[name].collect()) for name in list(out)[:-1]}
+    assert all(df.columns == list(pipeline.COLUMNS) for df in list(out.values())[:-1])
+    wordless = lambda text: not (text or "").encode().split()
+
+    toxic = rows["toxicity"]  # rows stay or go whole: repeated ones alike, and so do texts without words
+    assert all(toxic[k] in (0, n) for k, n in given.items())
+    assert len({toxic[k] > 0 for k in given if not k[1]}) == 1
+
+    near = rows["SimHash near-dedup"]  # one row of each group, of the rows that were given
+    assert not near - given and sum(n for (_, text), n in near.items() if wordless(text)) == 1
+    assert all(sum(n for (_, t), n in near.items() if t == text) <= 1 for _, text in given)
+
+    redacted = rows["secret scans"]  # every row stays, null texts stay null, texts without secrets stay as they are
+    assert sum(redacted.values()) == sum(given.values())
+    assert sum(n for (_, text), n in redacted.items() if text is None) == sum(n for (_, text), n in given.items() if text is None)
+    changed = given - redacted
+    assert changed and all("abcdef012345" in text for _, text in changed) and all("[secret]" in text for _, text in redacted - given)
+
+    mixed = rows["mixing sources"]  # up to three copies of a row, no other rows
+    assert set(mixed) <= set(given) and all(n <= 3 * given[k] for k, n in mixed.items()) and sum(mixed.values()) > 0
+
+    encoded = out["BPE encoding"].collect()  # a row per row; repeated rows alike; without words no tokens
+    assert Bag(r["doc_id"] for r in encoded) == Bag(k[0] for k in given.elements())
+    tokens: dict = {}
+    for r in encoded:
+        tokens.setdefault(r["doc_id"], Bag())[r["n_tokens"]] += 1
+    assert tokens[0] == tokens[1] == tokens[2] == Bag([0])  # null, empty, white space
+    assert 3 in tokens[5].values()  # the row that stands three times
+
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, no_docs, small_folder).count() == 0
 
 
 def test_one_row_of_each_group_stays(spark, edge_docs, tmp_path):
