@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,12 +66,28 @@ _HELD: dict = {}
 def held(key, make):
     """make()'s value, kept while tasks of the same key follow each other in this process."""
     if key not in _HELD:
-        _HELD.clear()
-        pa.default_memory_pool().release_unused()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Gives what this worker process held, and memory that it no longer uses, back to the machine."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Documents are long: from now on the session sends its Python workers at most ``rows`` rows at a time, which bounds what both sides of a task hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def lower_table() -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
