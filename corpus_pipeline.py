@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clipseam.llm import toxicity
 from clipseam.llm.bpe import encode_documents
-from clipseam.llm.common import cut, fold_of, small_side, table
+from clipseam.llm.common import cut, fold_of, small_batches, small_side, table
 from clipseam.llm.mixing import mix_sources
 from clipseam.llm.secrets import redact_secrets
 from clipseam.llm.simhash import simhash_groups
@@ -25,6 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have the base rate of the labelled rows and stay as long as that is below one half. A text of any
     length is scored whole; repeated rows fare alike; an empty table gives none.
     """
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of() != 0)
     return toxicity.score_toxicity(docs, model, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
@@ -37,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without an id lose all but one row of their group too. Null and empty texts are one group. A text of any length has one
     fingerprint; an empty table gives none.
     """
+    small_batches(spark)
     placed = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
     groups = simhash_groups(placed.select(F.col("_row").alias("doc_id"), "text"), near=True).select(F.col("doc_id").alias("_member"), "component_id")
     marked = cut(placed.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_member")).select("_row", "doc_id", "component_id"), "marked")
@@ -51,6 +53,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; a text of any length is scanned whole; repeated rows stay; an empty table gives none.
     """
+    small_batches(spark)
     before = docs.select(*COLUMNS)
     after = redact_secrets(before.withColumn("_was", F.length("text")))
     return after.withColumn("n_chars", F.when(F.length("text") != F.col("_was"), F.length("text").cast(before.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -72,6 +75,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; the leaves of very long texts are encoded in tasks of their own; repeated rows
     give repeated rows; an empty table gives none.
     """
+    small_batches(spark)
     return encode_documents(docs, carry=("lang", "source"), with_ids=True)
 
 
