@@ -458,6 +458,42 @@ def test_removal_equals_brute_force(spark, tile):
     assert [found[i] for i in range(len(texts))] == plain_removal([t.encode() for t in texts])
 
 
+def test_work_for_a_common_short_passage_follows_its_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    passage, copied = ("".join(rng.choice("abcdefgh \n") for _ in range(n)) for n in (300, 90))
+    texts = ["".join(rng.choice("abc xyz") for _ in range(380)) + passage + "".join(rng.choice("abc xyz") for _ in range(380)) for _ in range(60)]
+    # Pairs that share strings around the passage, of 400 bytes and more and of fewer.
+    texts += [copied + passage + copied[:9] + "r", copied + passage + copied[:9] + "s", copied + passage + copied[:10], "t" + copied + passage + copied[:11], copied[1:] + passage + copied[:10]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    sorted_rows, sort_segments = [], suffix_dedup.sort_segments
+
+    def count_rows(wanted):
+        sorted_rows.append(wanted.count())
+        return sort_segments(wanted)
+
+    monkeypatch.setattr(suffix_dedup, "sort_segments", count_rows)
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, 4).collect()}
+    want = plain_removal([t.encode() for t in texts])
+    assert [found[i] for i in range(len(texts))] == want and sum(x[1] > 0 for x in want) == 2
+    assert sorted_rows[0] < 2 * len(texts)  # pairs of tiles of 4 would be 60 * 15 and more
+
+
+def test_parts_hold_each_string_once_and_equal_strings_in_equal_parts():
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 101, 1000).astype(np.uint8).tobytes()
+    for step in suffix_dedup.STEPS:
+        parts: dict = {}
+        # The anchor at 500; a segment of all its strings, and one of some of them in other surroundings.
+        for whole, at, count, distance in ((text, 164, 337, 336), (b"x" * 50 + text[210:800], 50, 150, 290)):
+            for key, _, low, shape in suffix_dedup.split_parts(whole, at, count, distance, step):
+                for k in range(shape & ((1 << 20) - 1)):
+                    start = low + k + (160 if whole is not text else 0)
+                    assert (shape >> 20) - k == 500 - start
+                    parts.setdefault(start, []).append(key)
+        assert sorted(parts) == [*range(164, 501)]
+        assert all(len(parts[x]) == 1 + (210 <= x < 360) and len({*parts[x]}) == 1 for x in parts)
+
+
 def test_removal_edges(edge_docs, edge_rows, no_docs):
     want = Bag((r[0], *x) for r, x in zip(edge_rows, plain_removal([(r[1] or "").encode() for r in edge_rows]), strict=True))
     found = suffix_dedup.remove_repeats(edge_docs, with_text=True).collect()
