@@ -32,7 +32,9 @@ from .common import check_carry, cut, fit_curve, fold_of, held, table
 
 NEIGHBOURS, SAMPLE, EXAMPLES, BLOCK = 9, 24_000, 512, 256
 STEMS, LEVELS = (4, 6), (1, 2, 3, 5)
-#: The part of the idf that every term has; deviations from equal shares that chance explains; blocks visited at a time.
+#: Of indexes larger than four blocks: examples in a block. A visit's own cost is what counts in small ones; in larger ones only smaller blocks have bounds that let them be passed over.
+FINE = 64
+#: The part of the idf that every term has; deviations from equal shares that chance explains; blocks of BLOCK examples visited at a time.
 FLOOR, CHANCE, VISIT = 0.02, 3.0, 2
 #: Words that a process remembers.
 WORDS = 120_000
@@ -134,7 +136,8 @@ class NearestExamples:
         order = sorted(range(len(self.vectors)), key=lambda i: (lead[i], str(self.ids[i])))
         self.ids, self.labels, self.vectors = [self.ids[i] for i in order], self.labels[order], [self.vectors[i] for i in order]
         self.share = np.ones(len(order)) if self.share is None else self.share[order]
-        self.blocks = -(-len(order) // BLOCK)
+        self.size = BLOCK if len(order) <= 4 * BLOCK else FINE
+        self.blocks = -(-len(order) // self.size)
         self.open()
 
     def open(self) -> None:
@@ -143,12 +146,12 @@ class NearestExamples:
         example = np.repeat(np.arange(len(lengths)), lengths)
         term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in self.vectors]])
         value = np.concatenate([np.zeros(0), *[w for _, w in self.vectors]])
-        slot = (example // BLOCK) * len(self.terms) + term
+        slot = (example // self.size) * len(self.terms) + term
         order = np.argsort(slot, kind="stable")
         self.place, self.value = example[order], value[order]
         self.begin = np.searchsorted(slot[order], np.arange(self.blocks * len(self.terms) + 1)).astype(np.int32)
         self.top = np.zeros((len(self.terms), self.blocks), np.float32)
-        np.maximum.at(self.top, (term, example // BLOCK), np.nextafter(value.astype(np.float32), np.float32(2)))
+        np.maximum.at(self.top, (term, example // self.size), np.nextafter(value.astype(np.float32), np.float32(2)))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("place", "value", "begin", "top", "finder")} | {"memory": {}}
@@ -161,8 +164,9 @@ class NearestExamples:
         """Places and cosines of the k nearest with a common term, ties at the end included; without: an example to leave out."""
         bound = (values[:, None] * self.top[terms]).sum(0) * (1 + 1e-6)
         order, at, cos, least = np.argsort(-bound, kind="stable"), np.zeros(0, np.int64), np.zeros(0), 0.0
-        for k in range(0, len(order), VISIT):
-            chosen = order[k : k + VISIT]
+        visit = VISIT * BLOCK // self.size
+        for k in range(0, len(order), visit):
+            chosen = order[k : k + visit]
             chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-9)]
             if not len(chosen):
                 break

@@ -321,6 +321,26 @@ def test_nearest_is_exact():
     assert model.visited < 100 * model.blocks  # blocks were passed over
 
 
+@pytest.mark.parametrize("n", [0, 1, 1024, 1025, 1600])
+def test_nearest_is_exact_in_blocks_of_either_size(n):
+    rng = np.random.default_rng(n)
+    vectors = []
+    for _ in range(n + 10):
+        t, w = np.sort(rng.choice(300, 3, replace=False)), rng.random(3) + 0.1
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    model = toxicity.NearestExamples([*range(n)], np.zeros(n), vectors[:n], {f"t{i}": i for i in range(300)}, np.ones(300), k=3)
+    assert model.blocks == -(-n // (256 if n <= 1024 else 64))
+    dense = np.zeros((n, 300))
+    for i, (t, w) in enumerate(model.vectors):
+        dense[i, t] = w
+    for t, w in vectors[n:]:
+        full = dense[:, t] @ w
+        bar = max(np.sort(full)[-3:][0] if n > 2 else 0, 1e-9)
+        at, cos = model.nearest(t, w)
+        assert set(at.tolist()) == set(np.flatnonzero(full >= bar - 1e-9).tolist()) - set(np.flatnonzero(full == 0).tolist()) and cos == pytest.approx(full[at])
+    assert n <= 1024 or model.visited < 10 * model.blocks
+
+
 def test_terms_are_found_as_they_are_counted():
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["abcdefg", "abcde", "abcdx", "ab", "réeuxment", "réeuxa", "x1y", "B"]) for _ in range(rng.randint(0, 12))) for _ in range(50)]
